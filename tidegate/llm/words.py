@@ -140,3 +140,13 @@ def shingles(words: Words, k: int, short: bool) -> tuple[np.ndarray, np.ndarray]
             at = np.searchsorted(row, few)
             out, row = np.insert(out, at, mix(more)), np.insert(row, at, few)
     return out, row
+
+
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k consecutive values, whatever rows they belong to."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    power, inverse = _power_tables(len(h))
+    total = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * power[: len(h)], out=total[1:])
+    return mix((total[k:] - total[:-k]) * inverse[: len(h) - k + 1])
