@@ -1,0 +1,329 @@
+"""Operators on texts against plain models of what they compute."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+ODD = ["", None, " \t\n", "x", "a b c d", "é́ ÉÀ 日本語 \U0001f600!", "A a A a A a A a", "\x00 \x1c z y w", "<|endoftext|> it's don't 12 3!!", "#*$%&|<>" * 5]
+
+
+def documents(spark, texts, extra=False):
+    rows = [(i, t, ["en", "de", None, "xx"][i % 4], ["s1", "s0", None][i % 3], len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    if extra:
+        for name in ("n", "h", "node", "spans", "score", "size", "taken", "words", "key", "at", "__text"):
+            df = df.withColumn(name, df.text)
+    return df
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    real = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    return real[:120] + ODD + [real[3] + " " + real[5], "pre " + real[3], real[7] * 3]
+
+
+# -- n-gram Jaccard join
+
+
+def jaccard_model(rows, percent=80):
+    sets = {}
+    for d, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        sets[d] = s
+    parent = {d: d for d in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            c = len(sets[a] & sets[b])
+            if c and 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def near_copies(seed, n, edits):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    base = [rnd.choice(words) for _ in range(120)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rnd.randint(0, edits)):
+            own[rnd.randrange(len(own))] = rnd.choice(words)
+        out.append(" ".join(own))
+    return out
+
+
+def test_jaccard_components(spark, texts):
+    from tidegate.llm.jaccard import JaccardJoin
+
+    every = texts + near_copies(1, 40, 6) + near_copies(2, 25, 3) + ["License line one two three four five"] * 5
+    df = documents(spark, every, extra=True)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in JaccardJoin().components(df).collect()}
+    assert got == jaccard_model(list(enumerate(every)))
+
+
+def test_jaccard_frequent_shingles(spark, monkeypatch):
+    """With nearly everything in the frequent list the order of prefixes changes, and results do not."""
+    from tidegate.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "FREQUENT_FROM", 2)
+    every = near_copies(3, 60, 9)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.JaccardJoin().components(documents(spark, every)).collect()}
+    assert got == jaccard_model(list(enumerate(every)))
+
+
+def test_jaccard_empty_and_null_ids(spark):
+    from tidegate.llm.jaccard import JaccardJoin, keep_one
+
+    assert JaccardJoin().components(documents(spark, [])).collect() == []
+    df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in JaccardJoin().components(df).where("doc_id is not null").collect())
+    assert got == [(4, 2, 4), (4, 2, 4), (9, 2, 4)]
+    kept = keep_one(documents(spark, ["a b c d e f", "a b c d e f", "other words"]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+# -- suffix arrays
+
+
+def passages_model(rows, passage=50):
+    where = defaultdict(set)
+    words = {d: WORD.findall(t or "") for d, t in rows}
+    for d, w in words.items():
+        for i in range(len(w) - passage + 1):
+            where[tuple(w[i : i + passage])].add((d, i))
+    covered = defaultdict(set)
+    for places in where.values():
+        if len({d for d, _ in places}) > 1:
+            for d, i in places:
+                covered[d] |= set(range(i, i + passage))
+    return {d: s for d, s in covered.items()}
+
+
+def test_repeated_passages(spark, texts):
+    from tidegate.llm.suffixes import repeated_passages
+
+    rnd = random.Random(5)
+    fresh = lambda n: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(n))
+    shared = {n: fresh(n) for n in (49, 50, 51, 60, 74, 76, 200)}
+    every = texts + near_copies(4, 20, 4) + [fresh(rnd.randint(0, 40)) + " " + shared[n] + " " + fresh(rnd.randint(0, 40)) for n in shared for _ in range(3)]
+    rows = repeated_passages(documents(spark, every, extra=True)).collect()
+    got = defaultdict(set)
+    for r in rows:
+        assert r.end_word - r.start_word >= 50
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert dict(got) == passages_model(list(enumerate(every)))
+
+
+def test_repeated_passages_edges(spark):
+    from tidegate.llm.suffixes import repeated_passages
+
+    assert repeated_passages(documents(spark, [])).collect() == []
+    assert repeated_passages(documents(spark, ["a " * 200, "", None, "b " * 49, "b " * 49])).collect() == []
+    rows = repeated_passages(documents(spark, ["a " * 70, "a " * 55, "c"])).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in rows if r.doc_id == 1} == {(1, 0, 55)}
+
+
+# -- toxicity
+
+
+def test_toxicity_learns(spark, sf):
+    from tidegate.llm.toxicity import ToxicityModel, scores
+
+    rnd = random.Random(2)
+    words, bad = [f"w{i}" for i in range(300)], ["vile", "nasty"]
+    texts, marks = [], []
+    for i in range(600):
+        own = [rnd.choice(words) for _ in range(rnd.randint(5, 80))]
+        toxic = int(i % 7 == 0)
+        if toxic:
+            own[rnd.randrange(len(own))] = rnd.choice(bad) + rnd.choice(["", ",", "!"])
+        texts.append(" ".join(own).capitalize())
+        marks.append((i, toxic))
+    texts += ODD
+    marks += [(0, None), (None, 1), (5, 7)]
+    rows = scores(documents(spark, texts, extra=True), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    assert len(rows) == len(texts)
+    truth = {i: t for i, t in marks[:600]}
+    for r in rows:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    held = [r for r in rows if r.held_out and r.doc_id < 600]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.score for r in scores(documents(spark, ["a b"]), empty).collect()} == {0.5}
+    assert ToxicityModel.fit(documents(spark, texts), empty).scored(documents(spark, [])).collect() == []
+
+
+def test_held_out_labels_change_nothing(spark):
+    from tidegate.llm.toxicity import scores
+
+    docs = documents(spark, [f"word{i % 9} thing{i % 4}" for i in range(60)])
+    one = [(i, i % 2) for i in range(60)]
+    two = [(i, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, t in one]
+    a, b = (sorted(tuple(r) for r in scores(docs, spark.createDataFrame(x, "doc_id long, toxic int")).collect()) for x in (one, two))
+    assert a == b
+
+
+# -- personal data
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(x):
+    d = [int(c) for c in x if c.isdigit()][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])) % 10 == 0
+
+
+def base_model(text):
+    good = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+        "card": lambda m: 14 <= sum(c.isdigit() for c in m) <= 19 and luhn(m),
+        "phone": lambda m: 10 <= sum(c.isdigit() for c in m) <= 15,
+    }
+    found = [(m.start(), i, f"{k}:{m.start()}:{m.end()}", k) for i, (k, p) in enumerate(BASE.items()) for m in p.finditer(text or "") if good[k](m[0])]
+    return [(x[2], x[3]) for x in sorted(found)]
+
+
+PII = [
+    "a@b.c, x.y+z@mail.example.com. @no a@b @@x@y.z 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.002.3.0255",
+    "4111 1111 1111 1111 4111-1111-1111-1112 +1 (555) 555-3435. +12 +1((((( 9 +49 30 123456 78901234567890",
+    "my token = \"49ab8b03847754d938118e\" IBAN: DE89 3704 0044 0532 0130 00 password: hunter2hunter2hunter2",
+    "http://user:secret@host.example.com/x ssn 123-45-6789 a..b@c..d é@ü.de ü1@x.de",
+    "1" * 500 + "." + "2" * 30, "@" * 50, "+" * 50, "a" * 300 + "@" + "b" * 300, "1-1-1 " * 40, "Ⅷ٣ +٣ ١.٢.٣.٤",
+]
+
+
+def test_personal_data_base(spark, texts):
+    from tidegate.llm.pii import digest, personal_data
+
+    rnd = random.Random(9)
+    noise = ["".join(rnd.choice("01239.+-@ ()ab%\n") for _ in range(rnd.randint(1, 120))) for _ in range(400)]
+    every = texts + PII + noise
+    rows = {r.doc_id: r for r in digest(personal_data(documents(spark, every, extra=True))).collect()}
+    assert len(rows) == len(every)
+    for i, t in enumerate(every):
+        want, r = base_model(t), rows[i]
+        assert r.base_sha256 == hashlib.sha256(",".join(s for s, _ in want).encode()).hexdigest(), t
+        counts = Counter(k for _, k in want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in BASE)
+        own = r.spans.split(",") if r.spans else []
+        assert [s for s in own if s.split(":")[0] in BASE] == [s for s, _ in want]
+
+
+def test_cues_and_masks(spark):
+    from tidegate.llm.pii import find_spans, mask_text, masked
+
+    assert mask_text(PII[2], find_spans(PII[2])) == 'my token = "[SECRET]" IBAN: [ACCOUNT] password: [SECRET]'
+    assert mask_text(PII[3], find_spans(PII[3])).startswith("http://[LOGIN]@host.example.com/x ssn [ACCOUNT] ") or "[EMAIL]" in mask_text(PII[3], find_spans(PII[3]))
+    docs = documents(spark, ["a@b.c", None, ""], extra=True)
+    assert [r.text for r in masked(docs).orderBy("doc_id").collect()] == ["[EMAIL]", None, ""]
+    assert masked(docs).columns == docs.columns
+
+
+# -- packing
+
+
+def test_packing_round_trip(spark, texts):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from tidegate.llm.packing import digest, packed
+
+    every = texts + ["long word " * 4000]
+    reference = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = [np.array([*reference.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for t in every]
+    pieces = packed(documents(spark, every, extra=True).repartition(3), P.path("word_bpe_49k.json"))
+    rows = pieces.collect()
+    ids, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        own = np.frombuffer(bytes(r.ids), "<u4")
+        assert len(own) == r.length > 0 and r.doc_tokens == len(want[r.doc_id])
+        assert (own == want[r.doc_id][r.start : r.start + r.length]).all()
+        ids[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for d, w in enumerate(want):
+        at = 0
+        for start, length in sorted(ids[d]):
+            assert start == at
+            at += length
+        assert at == len(w)
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048 and at & (at - 1) == 0
+    sums = {(r.doc_id, r.start): r.ids_crc32 for r in digest(pieces).collect()}
+    assert all(sums[r.doc_id, r.start] == zlib.crc32(bytes(r.ids)) for r in rows)
+    assert packed(documents(spark, []), P.path("word_bpe_49k.json")).collect() == []
+
+
+# -- mixing
+
+
+def test_targets_and_flow():
+    from tidegate.llm.mixing import flow, targets
+
+    t = targets({"a": 100, "b": 100, None: 10})
+    assert t[None] == 20 and abs(sum(t.values()) - 315) < 1e-9 and t["a"] <= 200 and t["b"] <= 200
+    assert targets({}) == {} and targets({"a": 0}) == {"a": 0}
+    # the pattern in both sources serves the one that cannot be served otherwise; nothing is repeated without need
+    got = flow({("a",): 100, ("a", "b"): 100, ("b",): 10}, {"a": 150, "b": 60})
+    assert sum(got.values()) == 210 and all(got[k] <= s for k, s in {("a",): 100, ("a", "b"): 100, ("b",): 10}.items())
+    got = flow({("a",): 100, ("b",): 50}, {"a": 180, "b": 20})
+    assert got == {("a",): 180, ("b",): 20}
+
+
+def test_mix(spark, texts):
+    from tidegate.llm.mixing import Mixer, mixed, targets
+
+    docs = documents(spark, texts, extra=True)
+    rows = Mixer().taken(docs.select("doc_id", "text", "source")).collect()
+    again = Mixer().taken(docs.select("doc_id", "text", "source").repartition(5)).collect()
+    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
+    sizes = defaultdict(int)
+    source = {i: ["s1", "s0", None][i % 3] for i in range(len(texts))}
+    for i, t in enumerate(texts):
+        sizes[source[i]] += len(WORD.findall(t or ""))
+    quota, took = targets(dict(sizes)), defaultdict(int)
+    for r in rows:
+        assert r.size == len(WORD.findall(texts[r.doc_id] or "")) and r.taken <= 2 * r.size
+        assert r.source_size == sizes[source[r.doc_id]] and abs(r.target - quota[source[r.doc_id]]) < 1e-6
+        took[source[r.doc_id]] += r.taken
+    assert len(rows) == len(texts) and all(abs(took[s] - quota[s]) <= 1 for s in quota)
+    out = mixed(docs)
+    assert out.columns == docs.columns and out.count() > 0
+    assert Mixer().taken(documents(spark, [])).collect() == []
+
+
+def test_mix_overlapping(spark):
+    from pyspark.sql import functions as F
+
+    from tidegate.llm.mixing import Mixer
+
+    docs = documents(spark, [f"w{i} x y z" for i in range(90)]).withColumn("source", F.expr("case doc_id % 3 when 0 then array('a') when 1 then array('b', 'a') else array('b', null) end"))
+    rows = Mixer(share=1.0).taken(docs).collect()
+    assert sum(r.taken for r in rows) == 360 and len(rows) == 90
