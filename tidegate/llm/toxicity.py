@@ -109,7 +109,7 @@ class ToxicityModel:
         self.buckets, self.weights = buckets, weights
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0) -> ToxicityModel:
+    def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, epochs: int = 5, alpha: float = 2.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> ToxicityModel:
         """Learns from at most ``max_rows`` labelled documents outside the held-out fifth.
 
         Labels other than 0 and 1 are passed over; of several labels of an id the largest counts, and of several texts
