@@ -26,8 +26,8 @@ OTHER = "other"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Least sizes for the comparisons, and the distances up to which a text is kept.
-CLASS_MIN_CHARS, CLASS_MAX_DISTANCE = 200, 0.25
-WORD_MIN_WORDS, WORD_MAX_DISTANCE = 100, 0.35
+CLASS_MIN_CHARS, CLASS_MAX_DISTANCE = 200, 0.2
+WORD_MIN_WORDS, WORD_MAX_DISTANCE = 100, 0.275
 CLASSES = ("lower", "upper", "digit", "space", "punct", "wide")
 
 
