@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null and v is not null")
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     count = asked.count()
-    blocks = max(1, -(-count // BLOCK * 5 // 4))
+    blocks = max(1, -(-count * 5 // (BLOCK * 4)))  # of hashed ids, so with some room
     found = None
     for b in range(blocks):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
