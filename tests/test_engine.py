@@ -309,3 +309,39 @@ def test_codec(spark):
     assert [(got[i].request, got[i].error) for i in (2, 3)] == [(None, None)] * 2
     assert [got[i].error for i in (4, 5, 6)] == ["malformed request line", "malformed header line", "body too short"]
     assert got[7].request.headers[1] == ("A", "b: c") and bytes(got[7].request.body) == b"" and bytes(got[8].request.body) == "é".encode()
+
+
+def test_responses(spark):
+    raw = ["HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nabc", "HTTP/1.1 204\n\nall of it", "", "HTTP/1.1 abc\r\n\r\n", "HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nabc", "HTTP/1.1 99999 X\n\n", None]
+    got = [r for r in req.parsed_response(spark.createDataFrame(list(enumerate(raw)), "i long, raw string")).orderBy("i").collect()]
+    assert (got[0].response.status, bytes(got[0].response.body)) == (200, b"ab") and bytes(got[1].response.body) == b"all of it"
+    assert [r.error for r in got[2:]] == ["empty response", "bad status line", "body too short", "bad status line", "empty response"]
+
+
+def test_log_files(spark, tmp_path):
+    from tidegate.sources.logfile import decoded, read_log
+
+    df, rows = records(spark)
+    own = changelog.chained(changelog.encoded(df)).withColumn("frame", changelog.framed())
+    frames = [bytes(r.frame) for r in own.where("shard = 1").orderBy("seq").collect()]
+    whole = b"".join(frames)
+    second = len(frames[0]) + 45  # in the payload of the second record
+    files = {"whole": whole, "torn": whole + b"junk!", "cut": whole[:-3], "corrupt": whole[:second] + bytes([whole[second] ^ 1]) + whole[second + 1 :], "none": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {}
+    for r in read_log(spark, f"file://{tmp_path}").collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.position, r.tail))
+    n = len(frames)
+    good = [(i, None) for i in range(n)]
+    assert sorted(got["whole"]) == good and sorted(got["torn"], key=str) == sorted([*good, (n, "torn")], key=str)
+    assert (n - 1, "torn") in got["cut"] and len(got["cut"]) == n and got["corrupt"][-1] == (1, "corrupt") and "none" not in got
+    # every strict prefix of a record decodes to nothing
+    cuts = spark.createDataFrame([(i, bytearray(frames[1][:i])) for i in range(len(frames[1]) + 1)], "i long, frame binary")
+    assert [r.i for r in decoded(cuts, ["i"]).where("key is not null").collect()] == [len(frames[1])]
+    back = {r.seq: r for r in decoded(own.select("seq", "frame"), ["seq"]).collect()}
+    for _, seq, key, tag, fence, fp, lease, done, status, headers, body in rows:
+        r = back[seq]
+        assert (r.key, r.tag, bytes(r.fp)) == (key, tag, fp)
+        assert (r.fence, r.lease_expires_at_ms) == ((fence, lease) if tag == 0 else (None, None))
+        assert tag == 0 or (r.completed_at_ms, r.status, r.headers, bytes(r.body)) == (done, status, headers, body)

@@ -229,6 +229,25 @@ def http_parse_request(spark, sf_dir):
     )
 
 
+@query(f"""WITH {REQUESTS} SELECT seq, CASE WHEN seq % 13 = 0 THEN 'bad status line' WHEN seq % 17 = 0 THEN 'malformed header line' END AS error,
+  CASE WHEN seq % 13 <> 0 AND seq % 17 <> 0 THEN CAST(backend_status AS INTEGER) END AS status, CASE WHEN seq % 13 <> 0 AND seq % 17 <> 0 THEN CASE WHEN seq % 2 = 0 THEN body ELSE body || 'rest' END END AS body FROM req""")
+def http_parse_response(spark, sf_dir):
+    """Every other response states its length; the others run to their end."""
+    rows = read_events(spark, sf_dir)
+    text = F.concat(
+        F.lit("HTTP/1.1 "), F.when(F.col("seq") % 13 == 0, "x").otherwise(F.col("backend_status").cast("string")), F.lit(" Some Reason\r\nA: b"), F.when(F.col("seq") % 17 == 0, F.lit("\r\nno colon")).otherwise(""),
+        F.when(F.col("seq") % 2 == 0, F.concat(F.lit("\r\ncontent-length: "), F.octet_length("body").cast("string"))).otherwise(""), F.lit("\r\n\r\n"), "body", F.lit("rest"),
+    )
+    got = req.parsed_response(rows.select("seq", text.alias("raw")))
+    return got.select("seq", "error", F.col("response.status").alias("status"), F.col("response.body").cast("string").alias("body"))
+
+
+@query("SELECT CAST(s AS INTEGER) AS status, coalesce(MAP {200: 'OK', 201: 'Created', 400: 'Bad Request', 409: 'Conflict', 422: 'Unprocessable Entity', 429: 'Too Many Requests', 500: 'Internal Server Error', 502: 'Bad Gateway'}[s], 'Status') AS reason FROM (SELECT unnest(range(100, 600)) AS s)")
+def status_reasons(spark, sf_dir):
+    rows = spark.range(100, 600).select(F.col("id").cast("int").alias("status"))
+    return rows.select("status", req.reason(F.col("status")).alias("reason"))
+
+
 @query(f"""WITH {REQUESTS} SELECT seq, 'HTTP/1.1 ' || backend_status || CASE WHEN backend_status = 201 THEN ' Created' ELSE ' Status' END || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(body)) || chr(13) || chr(10)
 || 'X-A: ' || identity || chr(13) || chr(10) || chr(13) || chr(10) || body AS text FROM req""")
 def http_render_response(spark, sf_dir):

@@ -9,6 +9,7 @@ from tidegate.plans.common import DAY, REQUESTS, SHARDS, shard_sql
 from tidegate.plans.pipeline import shard_of
 from tidegate.plans.registry import query
 from tidegate.schema import COMPLETED, IN_PROGRESS
+from tidegate.sources.logfile import decoded
 from tidegate.sources.requests import read_events
 
 RECORDS = f"""{REQUESTS}, rec AS (
@@ -41,6 +42,15 @@ def changelog_chain(spark, sf_dir):
     return chain(spark, sf_dir).select("shard", "seq", "key", "crc", F.lower(F.hex("chain")).alias("chain"), F.octet_length(changelog.framed()).alias("frame_bytes"))
 
 
+@query(f"""WITH {RECORDS} SELECT shard, seq, key, CAST(tag AS INTEGER) AS tag, CASE WHEN tag = 0 THEN fence END AS fence, sha256(body) AS fp, CASE WHEN tag = 0 THEN lease_expires_at_ms END AS lease_expires_at_ms,
+  CASE WHEN tag = 1 THEN now_ms END AS completed_at_ms, CASE WHEN tag = 1 THEN CAST(status AS INTEGER) END AS status, CASE WHEN tag = 1 THEN body END AS body FROM rec""")
+def changelog_decode(spark, sf_dir):
+    """Framed records read back."""
+    frames = chain(spark, sf_dir).select("shard", "seq", changelog.framed().alias("frame"))
+    rows = decoded(frames, ["shard", "seq"])
+    return rows.select("shard", "seq", "key", "tag", "fence", F.lower(F.hex("fp")).alias("fp"), "lease_expires_at_ms", "completed_at_ms", "status", F.col("body").cast("string").alias("body"))
+
+
 def _le_sql(n: str, size: int) -> str:
     h = f"printf('%0{2 * size}x', {n})"
     return "unhex(" + " || ".join(f"substr({h}, {i}, 2)" for i in range(2 * size - 1, 0, -2)) + ")"

@@ -48,13 +48,8 @@ def _headers(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
 
 
-def parsed(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """``raw`` with ``request`` struct<method, target, headers, body> and ``error``.
-
-    The request is null where the text is empty (a clean end, no error), where the first line has no method or target,
-    where a header line has no colon, and where the body is shorter than its Content-Length. What follows the body is
-    left out.
-    """
+def _parts(raw: DataFrame, column: str) -> DataFrame:
+    """``raw`` with the words of the first line, the header lines, the headers and the rest as bytes."""
     text = F.regexp_replace(F.col(column), "\r\n", "\n")
     # the head ends before the first empty line; the body is counted in bytes of the original
     head = F.split_part(text, F.lit("\n\n"), F.lit(1))
@@ -63,18 +58,53 @@ def parsed(raw: DataFrame, column: str = "raw") -> DataFrame:
     out = raw.withColumns({"__head": head, "__tail": tail.cast("binary")})
     lines = F.array_compact(F.transform(F.split("__head", "\n"), lambda x: F.when(x != "", x)))
     out = out.withColumns({"__first": F.split(F.get(lines, 0), " "), "__lines": F.slice(lines, 2, 1 << 30)})
-    out = out.withColumn("__headers", _headers(F.col("__lines")))
+    return out.withColumn("__headers", _headers(F.col("__lines")))
+
+
+_BAD_HEADER = "malformed header line"
+
+
+def _no_colon() -> Column:
+    return F.exists("__lines", lambda x: ~F.contains(x, F.lit(":")))
+
+
+def parsed(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """``raw`` with ``request`` struct<method, target, headers, body> and ``error``.
+
+    The request is null where the text is empty (a clean end, no error), where the first line has no method or target,
+    where a header line has no colon, and where the body is shorter than its Content-Length. What follows the body is
+    left out.
+    """
+    out = _parts(raw, column)
     size = _length(header(F.col("__headers"), "Content-Length"))
     method, target = F.coalesce(F.get("__first", 0), F.lit("")), F.coalesce(F.get("__first", 1), F.lit(""))
+    empty = F.coalesce(F.col(column), F.lit("")) == ""
     error = (
-        F.when(F.coalesce(F.col(column), F.lit("")) == "", F.lit(None))
+        F.when(empty, F.lit(None))
         .when((method == "") | (target == ""), "malformed request line")
-        .when(F.exists("__lines", lambda x: ~F.contains(x, F.lit(":"))), "malformed header line")
+        .when(_no_colon(), _BAD_HEADER)
         .when(F.octet_length("__tail") < size, "body too short")
     )
     request = F.struct(method.alias("method"), target.alias("target"), F.col("__headers").alias("headers"), F.substring(F.col("__tail"), F.lit(1), size.cast("int")).alias("body"))
-    good = error.isNull() & (F.coalesce(F.col(column), F.lit("")) != "")
-    return out.withColumns({"error": error, "request": F.when(good, request)}).select(*raw.columns, "request", "error")
+    return out.withColumns({"error": error, "request": F.when(error.isNull() & ~empty, request)}).select(*raw.columns, "request", "error")
+
+
+def parsed_response(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """``raw`` with ``response`` struct<status, headers, body> and ``error``. Without a readable Content-Length the body
+    is all that follows the head; an empty text is an error here."""
+    out = _parts(raw, column)
+    stated = header(F.col("__headers"), "Content-Length")
+    whole = stated.isNull() | ~F.regexp_like(stated, F.lit(r"^\+?[0-9]+$"))
+    size = F.when(whole, F.octet_length("__tail").cast("long")).otherwise(_length(stated))
+    code = F.get("__first", 1)
+    status = F.when(F.regexp_like(code, F.lit("^[0-9]{1,5}$")), code.cast("int"))
+    status = F.when(status <= 65535, status)
+    error = (
+        F.when(F.coalesce(F.col(column), F.lit("")) == "", "empty response").when(status.isNull(), "bad status line")
+        .when(_no_colon(), _BAD_HEADER).when(F.octet_length("__tail") < size, "body too short")
+    )
+    response = F.struct(status.alias("status"), F.col("__headers").alias("headers"), F.substring(F.col("__tail"), F.lit(1), size.cast("int")).alias("body"))
+    return out.withColumns({"error": error, "response": F.when(error.isNull(), response)}).select(*raw.columns, "response", "error")
 
 
 def reason(status: Column) -> Column:
