@@ -45,7 +45,8 @@ def handled(requests: DataFrame, rules: Sequence[Rule], secret: bytes, leases: L
     joined = joined.withColumn("outcome", outcome)
     fixed = F.create_map(*[x for k, v in STATUS.items() for x in (F.lit(k), F.lit(v))])
     # a stored outcome is the answer of the request that made it; its status is looked up by that request's number
-    stored = requests.select(F.col("seq").alias("outcome_seq"), F.col("backend_status").alias("stored_status"))
-    joined = joined.join(stored, "outcome_seq", "left")
+    # (rows without one get a key of their own, so that they are not all dealt to one task)
+    stored = requests.select(F.col("seq").alias("__made"), F.col("backend_status").alias("stored_status"))
+    joined = joined.withColumn("__made", F.coalesce("outcome_seq", -1 - F.col("seq"))).join(stored, "__made", "left")
     status = F.coalesce(F.try_element_at(fixed, F.col("outcome")), F.when(F.col("outcome") == "replayed", F.col("stored_status")), F.col("backend_status"), F.lit(502))
     return joined.select(*requests.columns, "outcome", status.cast("int").alias("status"), "rule", "action", F.when(F.col("outcome").isin("created", "replayed"), F.col("outcome_seq")).alias("outcome_seq"))
