@@ -50,3 +50,13 @@ def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
     """Turns of pairs: conversation 2n is chosen over conversation 2n + 1."""
     conv = F.col("conv_id").cast("long")
     return conversations.select(F.floor(conv / 2).cast("long").alias("pair_id"), (F.pmod(conv, F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """A row per pair from ``formatted``: prompt, and chosen and rejected as arrays of struct<text, learned>. For pairs
+    that fit into one value; ``formatted`` has no such bound."""
+    turns = lambda part: F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("position", "rendered", "learned"))))
+    segments = lambda name: F.transform(name, lambda t: F.struct(t["rendered"].alias("text"), t["learned"].alias("learned")))
+    whole = rows.groupBy("pair_id").agg(*[turns(p).alias(p) for p in ("prompt", "chosen", "rejected")])
+    prompt = F.array_join(F.transform("prompt", lambda t: t["rendered"]), "")
+    return whole.select("pair_id", prompt.alias("prompt"), segments("chosen").alias("chosen"), segments("rejected").alias("rejected"))
