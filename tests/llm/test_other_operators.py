@@ -154,3 +154,11 @@ def test_preferences(spark):
         assert sorted(got.get((p, "prompt"), [])) == show(turns[:n], True)
         assert sorted(got.get((p, "chosen"), [])) == show(turns[n:], False)
         assert sorted(got.get((p, "rejected"), [])) == show(list(enumerate(b))[n:], False)
+
+
+def test_assembled(spark):
+    from tidegate.llm.preferences import assembled, formatted
+
+    turns = [(1, True, 0, "user", "q"), (1, True, 1, "assistant", "a"), (1, False, 0, "user", "q"), (1, False, 1, "assistant", "b")]
+    r = assembled(formatted(spark.createDataFrame(turns, "pair_id long, chosen boolean, turn long, role string, text string"))).first()
+    assert r.prompt == "<|user|>\nq\n" and r.chosen == [("<|assistant|>\na\n", True)] and r.rejected == [("<|assistant|>\nb\n", True)]
