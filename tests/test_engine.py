@@ -345,3 +345,21 @@ def test_log_files(spark, tmp_path):
         assert (r.key, r.tag, bytes(r.fp)) == (key, tag, fp)
         assert (r.fence, r.lease_expires_at_ms) == ((fence, lease) if tag == 0 else (None, None))
         assert tag == 0 or (r.completed_at_ms, r.status, r.headers, bytes(r.body)) == (done, status, headers, body)
+
+
+def test_events_without_user(spark):
+    import datetime
+
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, 0, i), user, "view", 1.0, "{}") for i, user in enumerate([None, None, 7])]
+    got = req.from_events(spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")).orderBy("seq")
+    assert [(r.identity, r.idem_key) for r in got.collect()] == [("anonymous", None), ("anonymous", None), ("7", "7-view")]
+    done = pipeline.handled(got, (Rule("r", 86_400_000, 1, "block"),), b"k" * 32, Leases()).orderBy("seq").collect()
+    assert [r.outcome for r in done] == ["passthrough", "denied", "created"]
+
+
+def test_empty_inputs(spark):
+    none = requests(spark, [])
+    assert pipeline.handled(none, (Rule("r", 1000, 1, "block"),), b"k" * 32, Leases()).count() == 0
+    assert decide(spark, [], Leases()).count() == 0
+    assert metrics.merged(metrics.counters(spark.createDataFrame([], "outcome string"))).first().requests_total == 0
+    assert sketches.hll_estimate(sketches.hll_registers(spark.range(0), "id", []), []).first().estimate == 0

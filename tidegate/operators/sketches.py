@@ -70,7 +70,7 @@ def hll_estimate(registers: DataFrame, groups: list[str], precision: int = PRECI
     """(groups, estimate): the harmonic mean, or linear counting while many registers are empty."""
     m = float(1 << precision)
     alpha = {16: 0.673, 32: 0.697, 64: 0.709}.get(1 << precision, 0.7213 / (1 + 1.079 / m))
-    sums = registers.groupBy(*groups).agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    sums = registers.groupBy(*groups).agg(F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.lit(0.0)).alias("__s"), F.count(F.lit(1)).alias("__n"))
     raw = F.lit(alpha * m * m) / (F.col("__s") + (F.lit(m) - F.col("__n")))
     zeros = F.lit(m) - F.col("__n")
     value = F.when((raw <= 2.5 * m) & (zeros > 0), F.lit(m) * F.ln(F.lit(m) / zeros)).otherwise(raw)

@@ -13,12 +13,13 @@ REASONS = {200: "OK", 201: "Created", 400: "Bad Request", 409: "Conflict", 422:
 
 
 def from_events(events: DataFrame) -> DataFrame:
-    """Events as requests: seq, now_ms, identity, idem_key, method, target, body, backend_status."""
+    """Events as requests: seq, now_ms, identity, idem_key, method, target, body, backend_status. Those of no user share
+    one identity and have no key."""
     return events.select(
         F.col("event_id").alias("seq"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"),
-        F.col("user_id").cast("string").alias("identity"),
-        F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("idem_key"),
+        F.coalesce(F.col("user_id").cast("string"), F.lit(ANONYMOUS)).alias("identity"),
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("idem_key"),
         F.lit("POST").alias("method"),
         F.concat(F.lit("/"), "event_type").alias("target"),
         F.col("props").alias("body"),
