@@ -39,14 +39,18 @@ def limited(hits: DataFrame, key: str, window_ms: int, limit: int) -> DataFrame:
 
 def judged(hits: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
     """``hits`` with ``verdict`` (allow or deny), ``rule`` and ``action``: those of the first rule in order that a hit
-    goes beyond. Every rule counts every hit, whatever the others say."""
-    out = hits
+    goes beyond. Every rule counts every hit, whatever the others say.
+
+    Only key, number and time of the hits go through the windows of the rules; what they deny is joined back by ``seq``,
+    which must be unique.
+    """
+    out = hits.select(key, "seq", "now_ms")
     for i, r in enumerate(rules):
         out = counted(out, key, r.window_ms, prefix=f"__r{i}_")
     tripped = [F.when(F.col(f"__r{i}_estimate") > r.limit, F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"))) for i, r in enumerate(rules)]
     hit = F.coalesce(*tripped) if tripped else F.lit(None).cast("struct<rule:string,action:string>")
-    out = out.withColumn("__hit", hit)
-    return out.select(
+    denied = out.select("seq", hit.alias("__hit")).where("__hit is not null")
+    return hits.join(denied, "seq", "left").select(
         *hits.columns,
         F.when(F.col("__hit").isNull(), "allow").otherwise("deny").alias("verdict"),
         F.col("__hit.rule").alias("rule"),
