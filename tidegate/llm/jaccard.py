@@ -6,8 +6,8 @@ n - ceil(t * n) + 1 shingles of both, whatever the common order is. Overlap coun
 discard every pair below a bound that follows from both sizes; what is left is decided on the whole sets.
 
 Large groups of copies would make the product quadratic, so that before the product is taken pairs inside known groups
-are removed from it: documents with equal sets become one class, and a few rounds connect each class to one centre of
-its blocks. Only pairs of classes that are still in different groups are multiplied out, so no link is lost and no
+are removed from it: documents with equal sets become one class, and a few rounds connect each class to that
+centre of its blocks with which it shares most. Only pairs of classes that are still in different groups are multiplied out, so no link is lost and no
 group is expanded into all its pairs.
 """
 
@@ -141,13 +141,13 @@ class JaccardJoin:
         sizes = nodes.select("node", "n")
         links = self._links(docs, blocks, sizes, stash)
         named = components(links, stash)
-        out = (
-            described.select("doc_id", F.col("n").alias("n_shingles"), "n", "fp", "fq")
-            .join(classes, ["n", "fp", "fq"], "left")
-            .join(named, "node", "left")
-            .select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
+        rows = described.select("doc_id", F.col("n").alias("n_shingles"), "n", "fp", "fq")
+        some = F.expr("n > 0 and doc_id is not null")
+        linked = (
+            rows.where(some).join(classes, ["n", "fp", "fq"]).join(named, "node", "left")
+            .select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
         )
-        return out
+        return linked.unionByName(rows.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
     def _frequent(self, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows = (
@@ -208,7 +208,10 @@ class JaccardJoin:
     def _links(self, docs: DataFrame, blocks: DataFrame, sizes: DataFrame, stash: Stash) -> DataFrame:
         links, rest = None, blocks
         for turn in range(self.star_rounds):
-            star = rest.where("node <> centre" if turn == 0 else "comp <> centre_comp").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+            star = (
+                rest.where("node <> centre" if turn == 0 else "comp <> centre_comp").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("c"))
+                .groupBy("node").agg(F.max(F.struct("c", "centre")).alias("most")).select(F.col("node").alias("a"), F.col("most.centre").alias("b"), "most.c")
+            )
             likely = stash.keep(self._sized(star, sizes).where("4 * c >= bound").select("a", "b"), "likely")
             found = self._verified(docs, likely, stash)
             links = found if links is None else stash.keep(links.unionByName(found), "links")
@@ -239,5 +242,7 @@ class JaccardJoin:
 
 def keep_one(docs: DataFrame, join: JaccardJoin | None = None) -> DataFrame:
     """Documents without those whose component has a smaller id: one of each group stays. Columns are those of ``docs``."""
-    named = (join or JaccardJoin()).components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_anti")
+    stash = Stash(docs.sparkSession)
+    gone = stash.keep((join or JaccardJoin()).components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # with few enough ids no text is shuffled
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
