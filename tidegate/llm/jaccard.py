@@ -18,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -220,9 +220,9 @@ class JaccardJoin:
             rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
             .join(rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "h")
             .where(F.expr(f"ca < cb and 100 * least(na, nb) >= {self.percent} * greatest(na, nb)"))
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("a", "b", F.col("na").alias("n"), F.col("nb").alias("m")).agg(F.count(F.lit(1)).alias("c"))
         )
-        left = stash.keep(self._sized(pairs, sizes).where("c >= bound").select("a", "b"), "left")
+        left = stash.keep(pairs.where(F.col("c") >= self._bound()).select("a", "b"), "left")
         return links.unionByName(self._verified(docs, left, stash))
 
     def _apart(self, blocks: DataFrame, named: DataFrame, turn: int, stash: Stash) -> DataFrame:
