@@ -138,8 +138,7 @@ class JaccardJoin:
             "nodes",
         )
         blocks = self._blocks(nodes, stash)
-        sizes = nodes.select("node", "n")
-        links = self._links(docs, blocks, sizes, stash)
+        links = self._links(docs, blocks, nodes, stash)
         named = components(links, stash)
         rows = described.select("doc_id", F.col("n").alias("n_shingles"), "n", "fp", "fq")
         some = F.expr("n > 0 and doc_id is not null")
@@ -161,22 +160,27 @@ class JaccardJoin:
         return found[order], rank[order]
 
     def _blocks(self, nodes: DataFrame, stash: Stash) -> DataFrame:
-        """(h, node, n, centre): the incidence in prefixes, shingles of one class left out. Frequent shingles, whose
+        """(h, node, n, pos, centre): the incidence in prefixes, shingles of one class left out. Frequent shingles, whose
         blocks may be huge, are summed before they are joined; the others meet in one exchange."""
         own = W.partitionBy("h")
         cold = (
-            nodes.select(F.explode("cold").alias("h"), "node", "n")
+            nodes.select("node", "n", F.posexplode("cold").alias("pos", "h"))
             .select("*", F.count(F.lit(1)).over(own).alias("rows"), F.min("node").over(own).alias("centre"))
             .where("rows > 1").drop("rows")
         )
-        warm = nodes.where(F.size("warm") > 0).select(F.explode("warm").alias("h"), "node", "n")
+        warm = nodes.where(F.size("warm") > 0).select("node", "n", F.posexplode("warm").alias("pos", "h"), F.size("cold").alias("ahead"))
+        warm = warm.withColumn("pos", F.col("pos") + F.col("ahead")).drop("ahead")
         sums = stash.keep(warm.groupBy("h").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "warm")
         return stash.keep(cold.unionByName(warm.join(sums.drop("rows"), "h")), "blocks")
 
+    def _need(self, n: str, m: str) -> str:
+        """SQL for the least overlap with which sets of n and m shingles are similar enough."""
+        p = self.percent
+        return f"((({p} * ({n} + {m})) + {99 + p}) div {100 + p})"
+
     def _bound(self) -> F.Column:
         """The least count of common prefix shingles with which sets of n and m shingles can be similar enough."""
-        p = self.percent
-        need = f"((({p} * (n + m)) + {99 + p}) div {100 + p})"
+        p, need = self.percent, self._need("n", "m")
         length = lambda x: f"({x} - (({p} * {x} + 99) div 100) + 1)"
         return F.expr(f"greatest(1L, least({length('n')} - (n - {need}), {length('m')} - (m - {need})))")
 
@@ -205,8 +209,8 @@ class JaccardJoin:
         stash.drop(sets, ids)
         return out
 
-    def _links(self, docs: DataFrame, blocks: DataFrame, sizes: DataFrame, stash: Stash) -> DataFrame:
-        links, rest = None, blocks
+    def _links(self, docs: DataFrame, blocks: DataFrame, nodes: DataFrame, stash: Stash) -> DataFrame:
+        links, rest, sizes = None, blocks, nodes.select("node", "n")
         for turn in range(self.star_rounds):
             star = (
                 rest.where("node <> centre" if turn == 0 else "comp <> centre_comp").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("c"))
@@ -216,15 +220,27 @@ class JaccardJoin:
             found = self._verified(docs, likely, stash)
             links = found if links is None else stash.keep(links.unionByName(found), "links")
             rest = self._apart(blocks, components(links, stash), turn, stash)
-        pairs = (
-            rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            .join(rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "h")
-            .where(F.expr(f"ca < cb and 100 * least(na, nb) >= {self.percent} * greatest(na, nb)"))
-            .groupBy("a", "b", F.col("na").alias("n"), F.col("nb").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-        )
-        left = stash.keep(pairs.where(F.col("c") >= self._bound()).select("a", "b"), "left")
+        left = self._bounded(self._product(rest), nodes, stash)
         return links.unionByName(self._verified(docs, left, stash))
 
+    def _product(self, rest: DataFrame) -> DataFrame:
+        """(a, b): pairs of different groups that meet where both of them still have room for the overlap they need. A
+        pair with an overlap of o has its first common shingle among the first n - o + 1 of the one and the first
+        m - o + 1 of the other, which leaves out most of the frequent shingles, as these come last."""
+        one = rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+        two = rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+        need = self._need("na", "nb")
+        meet = f"ca < cb and 100 * least(na, nb) >= {self.percent} * greatest(na, nb) and pa <= na - {need} and pb <= nb - {need}"
+        return one.join(two, "h").where(F.expr(meet)).select("a", "b").distinct()
+
+    def _bounded(self, pairs: DataFrame, nodes: DataFrame, stash: Stash) -> DataFrame:
+        """The pairs whose prefixes have as many shingles in common as their sizes ask for."""
+        prefixes = nodes.select("node", "n", F.concat("cold", "warm").alias("prefix"))
+        both = pairs.join(prefixes.select(F.col("node").alias("a"), "n", F.col("prefix").alias("x")), "a").join(
+            prefixes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("prefix").alias("y")), "b"
+        )
+        return stash.keep(both.where(F.size(F.array_intersect("x", "y")) >= self._bound()).select("a", "b"), "left")
+
     def _apart(self, blocks: DataFrame, named: DataFrame, turn: int, stash: Stash) -> DataFrame:
         """The rows of blocks that hold more than one group, each with its group and a new centre."""
         rows = blocks.drop("centre").join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
