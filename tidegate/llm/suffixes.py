@@ -108,8 +108,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumprod((a == b) & (a >= 0), axis=1).sum(axis=1)
 
 
+FOUND = "doc_id long, start int, end int, key long, hi long"
+
+
 def _extended(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
-    """Neighbours of the sorted suffixes compared: (doc_id, start, key) of every stretch that could be repeated.
+    """Neighbours of the sorted suffixes compared: FOUND, either a stretch that could be repeated, by the hash of its
+    words, or a span that surely is.
 
     The first and last suffix of a partition may match one of another partition; these are extended all the way.
     """
@@ -134,28 +138,43 @@ def _extended(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.
         elif not begun:
             reach[0] = w - 1
         begun = True
-        yield _stretches(ids[:-1], at[:-1], key[:-1], after[:-1], n_after[:-1], before[:-1], n_before[:-1], reach[:-1], w)
+        yield _stretches(ids[:-1], at[:-1], key[:-1], after[:-1], n_after[:-1], before[:-1], n_before[:-1], reach[:-1], k, w)
         waiting = (ids[-1:], at[-1:], key[-1:], after[-1:], n_after[-1:], before[-1:], n_before[-1:], int(reach[-1]))
     if waiting is not None:
-        yield _stretches(*waiting[:7], np.array([w - 1]), w)
+        yield _stretches(*waiting[:7], np.array([w - 1]), k, w)
+
 
+def _stretches(ids, at, key, after, n_after, before, n_before, reach, k: int, w: int) -> pa.RecordBatch:
+    """For each suffix and each number a of words to its left with room for the rest to its right: the stretch's hash.
 
-def _stretches(ids, at, key, after, n_after, before, n_before, reach, w: int) -> pa.RecordBatch:
-    """For each suffix and each number a of words to its left with room for the rest to its right: the stretch's hash."""
+    Suffixes alike in all of their context stand together. If they are of several documents, the first one stands for
+    all (``hi`` being the last document), and the others are repeated over all of their context.
+    """
+    n = len(ids)
+    new = np.ones(n, dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (after[1:] != after[:-1]).any(axis=1) | (before[1:] != before[:-1]).any(axis=1)
+    head = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    hi = ids[np.append(head[1:], n) - 1][run] if n else ids
+    several = ids[head][run] < hi if n else new
+    lead = new | ~several
     step = lambda x, salt: np.cumsum(mix(x.astype(np.uint64) + salt * (np.arange(1, w, dtype=np.uint64)[None, :])), axis=1)
-    zero = np.zeros((len(ids), 1), np.uint64)
+    zero = np.zeros((n, 1), np.uint64)
     left, right = np.hstack([zero, step(before, _LEFT)]), np.hstack([zero, step(after, _RIGHT)])
     a = np.arange(w)[None, :]
     reach = np.minimum(reach, n_after)
-    good = (a <= n_before[:, None]) & (w - 1 - a <= reach[:, None]) & (reach >= 0)[:, None]
-    i, a = np.nonzero(good)
+    i, a = np.nonzero((a <= n_before[:, None]) & (w - 1 - a <= reach[:, None]) & (reach >= 0)[:, None] & lead[:, None])
     hashed = mix(key[i].view(np.uint64) + mix(left[i, a] + np.uint64(1)) + mix(right[i, w - 1 - a] ^ _FLIP) + a.astype(np.uint64))
-    return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array((at[i] - a).astype(np.int32)), pa.array(hashed.view(np.int64))], ["doc_id", "start", "key"])
+    j = np.flatnonzero(~lead & (n_before + n_after >= w - 1))
+    start = np.concatenate([at[i] - a, at[j] - n_before[j]]).astype(np.int32)
+    end = np.concatenate([at[i] - a + k + w - 1, at[j] + k + n_after[j]]).astype(np.int32)
+    keys = pa.array(np.concatenate([hashed.view(np.int64), np.zeros(len(j), np.int64)]), mask=np.arange(len(i) + len(j)) >= len(i))
+    return pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate([i, j])]), pa.array(start), pa.array(end), keys, pa.array(np.concatenate([hi[i], ids[j]]))], ["doc_id", "start", "end", "key", "hi"])
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, first): the longest spans of words made of stretches of ``passage`` words that
-    also occur in another document. ``first`` spans hold what occurs there for the first time, by doc_id and position;
+    also occur in another document. ``first`` spans hold what may occur there for the first time, by doc_id and position;
     the others may be cut without loss.
 
     Words are split at space and \\t..\\r and compared as they are. Rows that share an id are one document, and rows with
@@ -183,17 +202,19 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANC
         .mapInArrow(partial(_contexts, k=k, w=w), "doc_id long, at int, key long, after binary, before binary")
     )
     suffixes = stash.keep(suffixes, "suffixes")
-    ordered = suffixes.repartitionByRange("key", "after", "doc_id", "at").sortWithinPartitions("key", "after", "doc_id", "at")
-    stretches = stash.keep(ordered.mapInArrow(partial(_extended, k=k, w=w), "doc_id long, start int, key long"), "stretches")
+    stash.drop(anchors, groups)
+    order = ("key", "after", "before", "doc_id", "at")
+    found = stash.keep(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_extended, k=k, w=w), FOUND), "found")
+    stash.drop(suffixes)
+    stretches = found.where("key is not null")
     shared = stash.keep(
-        stretches.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("origin"))
+        stretches.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct("doc_id", "start")).alias("origin"))
         .where("lo < hi").select("key", "origin"),
         "shared",
     )
-    extended = stretches.join(shared, "key").select(
-        "doc_id", "start", (F.col("start") + passage).alias("end"), (F.struct("doc_id", "start") == F.col("origin")).alias("first")
-    )
-    return _joined(same.unionByName(extended))
+    extended = stretches.join(shared, "key").select("doc_id", "start", "end", (F.struct("doc_id", "start") == F.col("origin")).alias("first"))
+    copies = found.where("key is null").select("doc_id", "start", "end", F.lit(False).alias("first"))
+    return _joined(same.unionByName(extended).unionByName(copies))
 
 
 def _joined(spans: DataFrame) -> DataFrame:
