@@ -24,8 +24,7 @@ from tidegate.llm.words import slices
 TIERS = (256, 512, 1024, 2048)
 STEP = 8
 #: Tokens that wait in a task until they are packed together.
-HELD = 1 << 21
-_SLICE = 1 << 22
+HELD = 1 << 20
 
 Piece = tuple[int, int, int]
 
@@ -148,7 +147,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tu
     packer = _Packer(tiers, step, (context.partitionId() if context else 0) << 32)
     tokenizer = tokenizer_at(path)
     for batch in batches:
-        for part in slices(batch, "text", _SLICE):
+        for part in slices(batch, "text"):
             ids, first = tokenizer.encode(part.column(1))
             for i, doc_id in enumerate(part.column(0).to_pylist()):
                 packer.add(doc_id, np.append(ids[first[i] : first[i + 1]], np.int32(end_id)))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm.words import slices
+
 #: Kinds with fixed definitions, in their order for equal starts; the others are what the cues add.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "login", "account", "secret")
@@ -161,14 +163,17 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(x or "")] for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPANS)], ["doc_id", "spans"])
+        for part in slices(batch, "text"):
+            found = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(x or "")] for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, _SPANS)], ["doc_id", "spans"])
 
 
 def _mask(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [x and mask_text(x, find_spans(x)) for x in batch.column(at).to_pylist()]
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        own = batch.schema.field(at)
+        for part in slices(batch, own.name):
+            texts = [x and mask_text(x, find_spans(x)) for x in part.column(at).to_pylist()]
+            yield part.set_column(at, own, pa.array(texts, own.type))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

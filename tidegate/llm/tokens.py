@@ -19,8 +19,8 @@ from tidegate.llm.words import scan
 
 #: The pre-token pattern that the tokenizer file states.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Chunks remembered per worker process.
-REMEMBERED = 1_500_000
+#: Chunks remembered per worker process, about 40 bytes each.
+REMEMBERED = 400_000
 
 
 class ChunkTokenizer:
@@ -35,8 +35,8 @@ class ChunkTokenizer:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted hashes of chunks
-        self.at = np.zeros(0, np.int64)  # where a chunk's ids begin in self.flat
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)  # where a chunk's ids begin in self.flat
+        self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -102,14 +102,13 @@ class ChunkTokenizer:
             ids, sizes = self._tokenised(chunks)
             where = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
             self.flat = np.concatenate([self.flat, ids])
-            hashes = np.concatenate([self.known, unique[new]])
-            order = np.argsort(hashes, kind="stable")
-            self.known = hashes[order]
-            self.at, self.size = np.concatenate([self.at, where])[order], np.concatenate([self.size, sizes])[order]
+            place = np.searchsorted(self.known, unique[new])
+            self.known = np.insert(self.known, place, unique[new])
+            self.at, self.size = np.insert(self.at, place, where), np.insert(self.size, place, sizes)
             at = np.searchsorted(self.known, unique)
         if not len(unique):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        begin, size = self.at[at][inverse], self.size[at][inverse]
+        begin, size = self.at[at][inverse].astype(np.int64), self.size[at][inverse].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
         return ids, np.concatenate([[0], ends])[words.first]

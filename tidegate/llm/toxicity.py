@@ -85,16 +85,13 @@ def _score(batches: Iterator[pa.RecordBatch], buckets: np.ndarray, weights: np.n
     table[buckets] = weights
     some = table != 0
     for batch in batches:
-        scores = [np.zeros(0)]
         for part in slices(batch, "__text"):
             row, bucket = _features(scan(part.column(part.num_columns - 1), lower=True, breaks=BREAKS))
             hit = some[bucket]
             row, bucket = _distinct(row[hit], bucket[hit])
             total = np.bincount(row, weights=table[bucket], minlength=part.num_rows) + table[-1]
-            scores.append(1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0))))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(np.concatenate(scores))], [*batch.schema.names[:-1], "score"]
-        )
+            score = 1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], "score"])
 
 
 def held_out(doc_id: Column) -> Column:
