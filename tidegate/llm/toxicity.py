@@ -73,7 +73,7 @@ def _learn(batches: Iterator[pa.RecordBatch], settings: dict) -> Iterator[pa.Rec
         flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
         ids, labels = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_pylist()
         for i, key in enumerate(mix(ids * _SEEDS[1]).tolist()):
-            examples.append((key, np.append(flat[at[i] : at[i + 1]], 1 << BITS), labels[i]))
+            examples.append((key, np.append(flat[at[i] : at[i + 1]], np.int32(1 << BITS)), labels[i]))
     examples.sort(key=lambda e: e[0])
     weights = ftrl([e[1:] for e in examples], **settings)
     at = np.flatnonzero(weights)
