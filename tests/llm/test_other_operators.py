@@ -106,6 +106,38 @@ def test_url_model_is_a_distribution_and_separates(spark):
     assert got[500] == "allow" and got[501] == "block"
 
 
+def test_url_models_keep_every_gram_of_whole_urls(spark, monkeypatch):
+    from tidegate.llm import urls
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcé/.-x") for _ in range(rnd.randint(1, 12)))
+    texts = [f"http://{word()}.com/{word()}?{word()}" for _ in range(60)] + [f"https://{word()}.net/fr/{word()}#{word()}" for _ in range(50)]
+    texts += [f"ftp://{word()}.org/{word()}" for _ in range(20)] + ["http://o.org/p", "http://o.org/p?ref=casino", "http://o.org/p#top", "no scheme", "", None, texts[0]]
+    counts = {"allow": {}, "block": {}, None: {}}
+    for t in texts:
+        best = url_model(t)[2]
+        text = "\x02" * 4 + (t or "")
+        for n in range(1, 6):
+            for i in range(5 - n, len(text) - n + 1):
+                own = counts[best and best[0]]
+                own[text[i : i + n]] = own.get(text[i : i + n], 0) + 1
+    accepted, rejected = urls.CharModel(counts["allow"]), urls.CharModel(counts["block"])
+
+    def score(t):
+        text = "\x02" * 4 + t
+        each = [math.log(accepted.probability(text[i : i + 4], text[i + 4])) - math.log(rejected.probability(text[i : i + 4], text[i + 4])) for i in range(len(t))]
+        return sum(each) / len(t) if t else 0.0
+
+    monkeypatch.setattr(urls, "BLOCK_BITS", 3)
+    rows = urls.judged(spark.createDataFrame(list(enumerate(texts)), "page_id long, url string").repartition(3)).collect()
+    got = {r.page_id: r.ratio for r in rows}
+    assert len(rows) == len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert abs(got[i] - score(t or "")) < 1e-9, t
+    at = {t: got[i] for i, t in enumerate(texts)}
+    assert len({at[f"http://o.org/p{x}"] for x in ("", "?ref=casino", "#top")}) == 3 and at["no scheme"] != 0
+
+
 # -- quality
 
 

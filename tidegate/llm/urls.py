@@ -1,25 +1,29 @@
 """URL filtering: listed rules decide what they fit; the rest is decided by two character language models.
 
-Variable-order Markov models of the URLs that rules accept and reject are counted over all pages and smoothed by
-Witten-Bell interpolation of all orders. A URL's log-likelihood difference, divided by its length, is held against a
-threshold calibrated on the same URLs.
+Variable-order Markov models of the whole URLs (scheme, query and fragment too) that rules accept and reject are counted
+over all pages and smoothed by Witten-Bell interpolation of all orders. A URL's log-likelihood difference, divided by its
+length, is held against a threshold calibrated on the same URLs. The models are tables of all n-grams counted, as large
+as the input makes them: blocks of rows are joined with the steps of their own n-grams.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import partial
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.llm.shared import Stash
+
 ORDER = 5
-#: The most frequent n-grams that are kept of each model; the size of a model is bounded by it.
-MAX_GRAMS = 200_000
 ALPHABET = 256
+#: Rows of a block are 2**BLOCK_BITS at most; each distinct n-gram of a block is joined once.
+BLOCK_BITS = 11
 _START = "\x02"
 
 #: (action, host and path)
@@ -51,17 +55,23 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return F.coalesce(*cases) if cases else F.lit(None).cast("struct<rule:string,action:string>")
 
 
+def _texts(url: str, order: int) -> list[str]:
+    """The n-grams of ``order`` characters that end at each character of a URL."""
+    text = _START * (order - 1) + url
+    return [text[i : i + order] for i in range(len(url))]
+
+
 def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Counts of all n-grams of up to ``order`` characters that end at a character of a URL, by class."""
+    """The n-grams of each block, with their counts in accepted and rejected URLs; both are 0 for what others hold."""
     for batch in batches:
-        counts: Counter[tuple[str, str]] = Counter()
-        for (kind, url), times in Counter(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)).items():
-            text = _START * (order - 1) + url
-            for n in range(1, order + 1):
-                for i in range(order - n, len(text) - n + 1):
-                    counts[kind, text[i : i + n]] += times
-        kinds, grams = zip(*counts, strict=True) if counts else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(grams, pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "gram", "c"])
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for block, own in groupby(rows, key=itemgetter(0)):
+            counts: dict[str | None, Counter[str]] = {"allow": Counter(), "block": Counter(), None: Counter()}
+            for _, kind, url in own:
+                counts[kind].update(_texts(url, order))
+            grams = list(dict.fromkeys(g for c in counts.values() for g in c))
+            by_kind = [pa.array([counts[kind][g] for g in grams], pa.int64()) for kind in ("allow", "block")]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(grams, pa.string()), *by_kind], ["block_id", "gram", "allow", "block"])
 
 
 class CharModel:
@@ -85,52 +95,60 @@ class CharModel:
         return p
 
 
-class UrlRatio:
-    """Log-likelihood difference of accepted and rejected URLs, per character."""
-
-    def __init__(self, accepted: dict[str, int], rejected: dict[str, int], order: int = ORDER):
-        self.accepted, self.rejected, self.order = CharModel(accepted), CharModel(rejected), order
-        self.known: dict[str, float] = {}
-
-    def score(self, url: str) -> float:
-        text, total = _START * (self.order - 1) + url, 0.0
-        for i in range(len(url)):
-            gram = text[i : i + self.order]
-            if (step := self.known.get(gram)) is None:
-                step = math.log(self.accepted.probability(gram[:-1], gram[-1])) - math.log(self.rejected.probability(gram[:-1], gram[-1]))
-                if len(self.known) < 500_000:
-                    self.known[gram] = step
-            total += step
-        return total / len(url) if url else 0.0
+def _steps(grams: DataFrame, order: int) -> DataFrame:
+    """(gram, step): log P(last character | those before) of accepted less that of rejected URLs, for all ``grams``.
 
-
-def _ratio(batches: Iterator[pa.RecordBatch], accepted: dict, rejected: dict, order: int) -> Iterator[pa.RecordBatch]:
-    model = UrlRatio(accepted, rejected, order)
-    for batch in batches:
-        scores = [model.score(u) for u in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "ratio"])
-
-
-def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int = ORDER, max_grams: int = MAX_GRAMS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    Shorter n-grams are the ends of longer ones, so each order's counts are sums of the next one's.
+    """
+    sums = [F.sum(kind).alias(kind) for kind in ("allow", "block")]
+    levels = [grams.groupBy("gram").agg(*sums)]
+    for n in range(order - 1, 0, -1):
+        levels.append(levels[-1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(*sums))
+    levels.reverse()
+    every = [f(kind) for kind in ("allow", "block") for f in (lambda k: F.coalesce(F.sum(k), F.lit(0)).alias(f"{k}_total"), lambda k: F.count_if(F.col(k) > 0).alias(f"{k}_kinds"))]
+    whole = levels[0].agg(*every).first().asDict()
+
+    def smoothed(kind: str, total: Column, kinds: Column, lower: Column) -> Column:
+        return F.when(total > 0, (F.col(kind) + kinds * lower) / (total + kinds)).otherwise(lower).alias(f"{kind}_p")
+
+    lower = levels[0].select("gram", *[smoothed(k, F.lit(whole[f"{k}_total"]), F.lit(whole[f"{k}_kinds"]), F.lit(1.0 / ALPHABET)) for k in ("allow", "block")])
+    for n, level in enumerate(levels[1:], 2):
+        context = Window.partitionBy("context")
+        counted = level.withColumn("context", F.substring("gram", 1, n - 1)).withColumn("rest", F.substring("gram", 2, n - 1))
+        for kind in ("allow", "block"):
+            counted = counted.withColumn(f"{kind}_total", F.sum(kind).over(context)).withColumn(f"{kind}_kinds", F.count_if(F.col(kind) > 0).over(context))
+        both = counted.join(lower.withColumnRenamed("gram", "rest"), "rest")
+        lower = both.select("gram", *[smoothed(k, F.col(f"{k}_total"), F.col(f"{k}_kinds"), F.col(f"{k}_p")) for k in ("allow", "block")])
+    return lower.select("gram", (F.log("allow_p") - F.log("block_p")).alias("step"))
+
+
+def _ratio(rows: pa.Table, steps: pa.Table, order: int) -> pa.Table:
+    """Ratios of one block's URLs; ``steps`` has all of its n-grams."""
+    step = dict(zip(steps["gram"].to_pylist(), steps["step"].to_pylist(), strict=True))
+    scores = [sum(map(step.__getitem__, _texts(u, order))) / len(u) if u else 0.0 for u in rows["url"].to_pylist()]
+    return rows.drop_columns("block_id").append_column("ratio", pa.array(scores, pa.float64()))
+
+
+def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, ratio) for every row of ``pages``.
 
     ``verdict`` is the rule's where one fits, else "block" where the ratio is under the threshold and "allow" where it
-    is not. Where the rules accept or reject nothing, and for URLs without host and path, there is nothing to compare:
-    such rows are allowed. Repeated rows are judged each; other columns are ignored.
+    is not. Rules see host and path, the models the whole URL. Where the rules accept or reject nothing, and for null and
+    empty URLs, there is nothing to compare: such rows are allowed. Repeated rows are judged each; other columns are
+    ignored.
     """
-    host, path = host_and_path(F.col(url_col).cast("string"))
-    named = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules))
-    named = named.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.action").alias("action"), F.concat("host", "path").alias("seen"))
-    decided = named.where("action is not null")
-    counts = decided.select(F.col("action").alias("kind"), "seen").mapInArrow(partial(_grams, order=order), "kind string, gram string, c long")
-    counts = counts.groupBy("kind", "gram").agg(F.sum("c").alias("c"))
-    models = {}
-    for kind in ("allow", "block"):
-        rows = counts.where(F.col("kind") == kind).orderBy(F.desc("c"), "gram").limit(max_grams).toArrow()
-        models[kind] = dict(zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True))
-    scored = named.select("page_id", "host", "path", "rule", "action", "seen").mapInArrow(
-        partial(_ratio, accepted=models["allow"], rejected=models["block"], order=order), "page_id long, host string, path string, rule string, action string, ratio double"
-    )
+    stash = Stash(pages.sparkSession)
+    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    host, path = host_and_path(url)
+    named = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path")).withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules))
+    named = named.select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.action").alias("action"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block_id"))
+    named = stash.keep(named, "urls")
+    grams = named.select("block_id", "action", "url").mapInArrow(partial(_grams, order=order), "block_id long, gram string, allow long, block long")
+    grams = stash.keep(grams, "grams")
+    steps = grams.select("block_id", "gram").join(_steps(grams, order), "gram")
+    scored = named.groupBy("block_id").cogroup(steps.groupBy("block_id")).applyInArrow(partial(_ratio, order=order), "page_id long, url string, host string, path string, rule string, action string, ratio double")
+    scored = stash.keep(scored, "scored")
+    stash.drop(named, grams)
     known = {r.action: r for r in scored.where("action is not null").groupBy("action").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("spread")).collect()}
     if len(known) < 2:
         other = F.lit("allow")
@@ -139,5 +157,5 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: in
         width = a.spread + b.spread
         # as many spreads away from the one mean as from the other
         threshold = (a["mean"] * b.spread + b["mean"] * a.spread) / width if width else (a["mean"] + b["mean"]) / 2
-        other = F.when((F.col("ratio") < threshold) & (F.concat("host", "path") != ""), "block").otherwise("allow")
+        other = F.when((F.col("ratio") < threshold) & (F.col("url") != ""), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("action", other).alias("verdict"), "ratio")
