@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -243,6 +244,44 @@ def test_cues_and_masks(spark):
     assert masked(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ("API key: 49ab8b03847754d938118e", "API key: [SECRET]"),
+        ("Api Key 49ab8b03847754d938118e", "Api Key [SECRET]"),
+        ("my Api_Key=49ab8b03847754d938118e;", "my Api_Key=[SECRET];"),
+        ("Social Security 123-45-6789", "Social Security [ACCOUNT]"),
+        ("sOCIAL sECURITY number 123-45-6789", "sOCIAL sECURITY number [ACCOUNT]"),
+        ("İ API key: 49ab8b03847754d938118e", "İ API key: [SECRET]"),
+        ("IBAN: DE89370400440532013000 BIC COBADEFFXXX", "IBAN: [ACCOUNT] BIC COBADEFFXXX"),
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "IBAN [ACCOUNT] BIC COBADEFFXXX"),
+        ("IBAN NO9386011117947 OK", "IBAN [ACCOUNT] OK"),
+        ("IBAN DE88370400440532013000 BIC COBADEFFXXX", "IBAN DE88370400440532013000 BIC COBADEFFXXX"),
+        (f"https://{'u' * 70}:{'t' * 300}@host/x", "https://[LOGIN]@host/x"),
+        ("password: hunter2", "password: [SECRET]"),
+        ("Password: hunter.", "Password: [SECRET]."),
+        ('{"password": "correct horse"}', '{"password": "[SECRET]"}'),
+        ("PASSWORD=s3cr3t! and more", "PASSWORD=[SECRET] and more"),
+        ("the password is hunter2", "the password is [SECRET]"),
+        ("The password is required; passwords: none", "The password is required; passwords: none"),
+        ("password 49ab8b03847754d938118e", "password [SECRET]"),
+    ],
+)
+def test_cues_in_ordinary_forms(text, masked):
+    from tidegate.llm.pii import find_spans, mask_text
+
+    assert mask_text(text, find_spans(text)) == masked
+
+
+def test_cues_take_linear_time():
+    from tidegate.llm.pii import find_spans
+
+    for part in ("password:", "password.", "password=x ", "password='x ", "://a:", "://a:b@", "IBAN DE89 3704 0044 ", "api key "):
+        began = time.process_time()
+        find_spans(part * 40_000)
+        assert time.process_time() - began < 10, part
+
+
 # -- packing
 
 

@@ -29,19 +29,36 @@ _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOGIN = re.compile(r"[^\s/?#@:]{1,64}:[^\s/?#@]{1,64}@")
+_LOGIN = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++@")
 _VALUE = re.compile(r"""[ \t]{0,4}(?:is|no\.?|number|nr\.?|#)?[ \t]{0,4}[:=#]?[ \t]{0,4}["']?""", re.I)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){5,33}")
 _SECRET = re.compile(r"[A-Za-z0-9_\-+/.]{16,}")
+#: A sign of assignment or none, then a value in quotes or up to a space.
+_PASSWORD = re.compile(r"""["']?[ \t]{0,4}(?:(?:is|was|no\.?|number|nr\.?|#)(?=[ \t:=]))?[ \t]{0,4}([:=]{0,2})[ \t]{0,4}(?:"([^"\n]++)"|'([^'\n]++)'|["']?)""", re.I)
+_RUN = re.compile(r"""[^\s"']*+""")
 
 #: Words before an identifier, with the kind of what follows them.
 _CUES = {
     "iban": "iban", "account": "number", "konto": "number", "cuenta": "number", "compte": "number", "passport": "number",
-    "ssn": "number", "social security": "number", "token": "secret", "password": "secret", "secret": "secret",
+    "ssn": "number", "social security": "number", "token": "secret", "password": "password", "secret": "secret",
     "api_key": "secret", "api key": "secret", "apikey": "secret",
 }
 
+_FOLD = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+#: Characters of an IBAN by country.
+_IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
@@ -51,12 +68,17 @@ def _automaton() -> ahocorasick.Automaton:
     for digit in "0123456789":
         out.add_word(digit, ("digit", 1))
     for cue, what in _CUES.items():
-        for form in (cue, cue.capitalize(), cue.upper()):
-            out.add_word(form, (what, len(form)))
+        out.add_word(cue, (what, len(cue)))
     out.make_automaton()
     return out
 
 
+def _folded(text: str) -> str:
+    """A copy in lower case, as long as the text; where that is not so, only A-Z are folded."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_FOLD)
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -76,6 +98,39 @@ def _iban(text: str) -> bool:
     return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN ends that begins at ``start``, 0 if none does: at its country's length, else the farthest end up to
+    ``end`` that passes the check; a country whose length is known may end elsewhere only before what is no letter or digit."""
+    size, ends, n = _IBAN_SIZES.get(text[start : start + 2]), [], 0
+    for i in range(start, end):
+        if text[i] != " ":
+            n += 1
+            if n == size and _iban(text[start : i + 1]):
+                return i + 1
+            if n >= 15 and (size is None or not text[i + 1 : i + 2].isalnum()):
+                ends.append(i + 1)
+    return next((i for i in reversed(ends) if _iban(text[start:i])), 0)
+
+
+def _password(text: str, after: int, run: list[int]) -> tuple[int, int] | None:
+    """The value that a password's cue before ``after`` names: any after a sign of assignment, else one of six characters
+    or more with a digit. ``run`` keeps the run looked at last, so that cues in one run look at it once: its start, end, end
+    without punctuation and last digit."""
+    m = _PASSWORD.match(text, after)
+    if k := m.lastindex if m.lastindex > 1 else 0:
+        start, end = m.span(k)
+        digit = max(text.rfind(d, start, end) for d in "0123456789")
+    else:
+        start = m.end()
+        if not run[0] <= start < run[1]:
+            end = trimmed = _RUN.match(text, start).end()
+            while trimmed > start and text[trimmed - 1] in ".,;)]}>":
+                trimmed -= 1
+            run[:] = start, end, trimmed, max(text.rfind(d, start, end) for d in "0123456789")
+        _, _, end, digit = run
+    return (start, end) if start < end and (m[1] or end - start >= 6 and digit >= start) else None
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then by the order of KINDS.
 
@@ -84,8 +139,9 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     """
     base: list[tuple[str, int, int]] = []
     more: list[tuple[str, int, int]] = []
-    email_from = ip_from = card_from = phone_from = 0
-    for last, (what, size) in _automaton().iter(text):
+    email_from = ip_from = card_from = phone_from = password_from = 0
+    run = [0, 0, 0, 0]
+    for last, (what, size) in _automaton().iter(_folded(text)):
         at = last - size + 1
         if what == "digit":
             if at >= ip_from:
@@ -120,12 +176,20 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 more.append(("login", last + 1, m.end() - 1))
         elif not (at and text[at - 1].isalnum()) and not text[last + 1 : last + 2].isalnum():
             begin = _VALUE.match(text, last + 1).end()
+            if what == "password":
+                if at >= password_from and (own := _password(text, last + 1, run)):
+                    password_from = own[1]
+                    more.append(("secret", *own))
+                continue
             if what == "secret" and (m := _SECRET.match(text, begin)) and any(c.isdigit() for c in m[0]):
                 more.append(("secret", begin, m.end()))
             elif what == "number" and (m := _NUMBER.match(text, begin)):
                 more.append(("account", begin, m.end()))
-            if what != "secret" and (m := _IBAN.match(text, begin)) and _iban(m[0]):
-                more.append(("account", begin, m.end()))
+            if what != "secret":
+                # NO is Norway as well as "number"
+                for start in (begin - 2, begin) if text[max(last + 1, begin - 2) : begin] == "NO" else (begin,):
+                    if (m := _IBAN.match(text, start)) and (end := _iban_end(text, start, m.end())):
+                        more.append(("account", start, end))
     order = lambda s: (s[1], KINDS.index(s[0]))
     base.sort(key=order)
     if more:
