@@ -200,6 +200,20 @@ def test_difficulty(spark, base, over, want):
     assert one(spark, d=pow.difficulty_for(F.lit(base), F.lit(over))).d == want
 
 
+def test_nonces_are_searched_until_found(spark, monkeypatch):
+    monkeypatch.setattr(pow, "CHUNK", 7)
+    values = {f"id{i}": hashlib.sha256(b"%d" % i).digest() for i in range(40)} | {None: b"x" * 32}
+    bits = lambda v, n: 256 - int.from_bytes(hashlib.sha256(v + struct.pack("<Q", n)).digest(), "big").bit_length()
+    want = {k: next(n for n in range(10**7) if bits(v, n) >= 7) for k, v in values.items()}
+    tasks = spark.createDataFrame([*values.items(), ("nothing", None)], "identity string, value binary")
+    rows = pow.smallest_nonce(tasks, ["identity"], "value", F.lit(7), 3).collect()
+    assert max(want.values()) > 256 and len(rows) == len(want) and {r.identity: r.nonce for r in rows} == want
+    assert pow.smallest_nonce(tasks.limit(0), ["identity"], "value", F.lit(7), 3).collect() == []
+    with pytest.raises(ValueError):
+        pow.smallest_nonce(tasks, ["identity"], "value", F.lit(257), 3)
+
+
+
 # -- sketches
 
 
