@@ -323,39 +323,126 @@ def test_packing_round_trip(spark, texts):
 # -- mixing
 
 
-def test_targets_and_flow():
-    from tidegate.llm.mixing import flow, targets
-
-    t = targets({"a": 100, "b": 100, None: 10})
-    assert t[None] == 20 and abs(sum(t.values()) - 315) < 1e-9 and t["a"] <= 200 and t["b"] <= 200
-    assert targets({}) == {} and targets({"a": 0}) == {"a": 0}
-    # the pattern in both sources serves the one that cannot be served otherwise; nothing is repeated without need
-    got = flow({("a",): 100, ("a", "b"): 100, ("b",): 10}, {"a": 150, "b": 60})
-    assert sum(got.values()) == 210 and all(got[k] <= s for k, s in {("a",): 100, ("a", "b"): 100, ("b",): 10}.items())
-    got = flow({("a",): 100, ("b",): 50}, {"a": 180, "b": 20})
-    assert got == {("a",): 180, ("b",): 20}
+def targets_model(sizes, weights=(3, 1, 2), share=1.5, repeats=2):
+    """By bisection of the level at which sources are filled."""
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: weights[i % len(weights)] for i, x in enumerate(names)}
+    words, lo, hi = share * sum(sizes.values()), 0.0, 1e18
+    at = lambda level: {x: min(repeats * sizes[x], level * weight[x]) for x in names}
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(at(mid).values()) < words else (lo, mid)
+    return at(lo)
+
+
+def cheapest_flow(members, sizes, quotas, repeats):
+    """(tokens, cost) by repeated searches for one cheapest path."""
+    n, edges = 2 + len(members) + len(quotas), []
+
+    def edge(a, b, room, cost):
+        edges.extend(([a, b, room, cost], [b, a, 0, -cost]))
+
+    for p, own in enumerate(members):
+        for k in range(repeats):
+            edge(0, 2 + p, sizes[p], 2 * k + 1)
+        for x in set(own):
+            edge(2 + p, 2 + len(members) + x, 10**9, 0)
+    for x, q in enumerate(quotas):
+        edge(2 + len(members) + x, 1, q, 0)
+    tokens = cost = 0
+    while True:
+        far, by = [0] + [10**18] * (n - 1), [-1] * n
+        for _ in range(n):
+            for i, (a, b, room, c) in enumerate(edges):
+                if room and far[a] + c < far[b]:
+                    far[b], by[b] = far[a] + c, i
+        if by[1] < 0:
+            return tokens, cost
+        path, v = [], 1
+        while v:
+            path.append(by[v])
+            v = edges[by[v]][0]
+        amount = min(edges[i][2] for i in path)
+        for i in path:
+            edges[i][2] -= amount
+            edges[i ^ 1][2] += amount
+        tokens, cost = tokens + amount, cost + amount * far[1]
+
+
+def test_flow_is_cheapest():
+    from tidegate.llm.mixing import flow
+
+    rnd = random.Random(6)
+    for _ in range(150):
+        n, repeats = rnd.randint(1, 4), rnd.randint(1, 3)
+        members = [rnd.sample(range(n), rnd.randint(1, n)) for _ in range(rnd.randint(0, 6))]
+        sizes, quotas = [rnd.randint(0, 9) for _ in members], [rnd.randint(0, 15) for _ in range(n)]
+        got = flow(members, sizes, quotas, repeats)
+        cost = sum((2 * k + 1) * max(0, min(x - k * s, s)) for x, s in zip(got, sizes, strict=True) for k in range(repeats))
+        assert all(x <= repeats * s for x, s in zip(got, sizes, strict=True))
+        assert (sum(got), cost) == cheapest_flow(members, sizes, quotas, repeats)
+
+
+def test_flow_of_many_patterns_is_quick():
+    from tidegate.llm.mixing import flow
+
+    rnd = random.Random(7)
+    members = [rnd.sample(range(500), rnd.randint(1, 3)) for _ in range(30_000)]
+    began = time.process_time()
+    got = flow(members, [rnd.randint(1, 10**6) for _ in members], [rnd.randint(1, 10**8) for _ in range(500)])
+    assert sum(got) > 0 and time.process_time() - began < 20
+
+
+def check_mix(rows, docs, mixer):
+    """docs: (doc_id, text, source) as often as they are in the table."""
+    sizes, quota, took = defaultdict(int), {}, defaultdict(int)
+    for _, t, x in docs:
+        sizes[x] += len(WORD.findall(t or ""))
+    quota = targets_model(sizes, mixer.weights, mixer.share, mixer.repeats)
+    by_id = defaultdict(list)
+    for d, t, x in docs:
+        by_id[d].append((len(WORD.findall(t or "")), x))
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((d, n) for d, own in by_id.items() for n, _ in own)
+    for r in rows:
+        x = next(x for n, x in by_id[r.doc_id] if n == r.size)
+        assert r.taken <= mixer.repeats * r.size and r.source_size == sizes[x] and abs(r.target - quota[x]) < 1e-6 * max(1, quota[x])
+        took[x] += r.taken
+    return {x: took[x] - quota[x] for x in sizes}
 
 
 def test_mix(spark, texts):
-    from tidegate.llm.mixing import Mixer, mixed, targets
-
+    from tidegate.llm.mixing import Mixer, mixed
+
+    docs = documents(spark, texts, extra=True).drop("size", "taken")
+    plain = [(i, t, ["s1", "s0", None][i % 3]) for i, t in enumerate(texts)]
+    rows = Mixer().decisions(docs).collect()
+    assert all(abs(x) <= 1 for x in check_mix(rows, plain, Mixer()).values())
+    for other in (Mixer().decisions(docs.repartition(5)), Mixer().taken(docs)):
+        assert sorted((r.doc_id, r.size, r.taken) for r in rows) == sorted((r.doc_id, r.size, r.taken) for r in other.collect())
     docs = documents(spark, texts, extra=True)
-    rows = Mixer().taken(docs.select("doc_id", "text", "source")).collect()
-    again = Mixer().taken(docs.select("doc_id", "text", "source").repartition(5)).collect()
-    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
-    sizes = defaultdict(int)
-    source = {i: ["s1", "s0", None][i % 3] for i in range(len(texts))}
-    for i, t in enumerate(texts):
-        sizes[source[i]] += len(WORD.findall(t or ""))
-    quota, took = targets(dict(sizes)), defaultdict(int)
-    for r in rows:
-        assert r.size == len(WORD.findall(texts[r.doc_id] or "")) and r.taken <= 2 * r.size
-        assert r.source_size == sizes[source[r.doc_id]] and abs(r.target - quota[source[r.doc_id]]) < 1e-6
-        took[source[r.doc_id]] += r.taken
-    assert len(rows) == len(texts) and all(abs(took[s] - quota[s]) <= 1 for s in quota)
     out = mixed(docs)
     assert out.columns == docs.columns and out.count() > 0
-    assert Mixer().taken(documents(spark, [])).collect() == []
+    assert Mixer().taken(documents(spark, [])).collect() == [] == Mixer().decisions(documents(spark, [])).collect()
+
+
+def test_mix_of_many_sources_repeated_rows_and_null_ids(spark):
+    from tidegate.llm.mixing import Mixer
+
+    rnd = random.Random(8)
+    plain = [(i if i % 5 else None, "w " * rnd.randint(0, 30), f"s{rnd.randrange(90)}" if i % 11 else None) for i in range(900)]
+    plain += [(7777, "one two three", "s1")] * 40 + [(None, "one two three four", "s1")] * 40
+    df = spark.createDataFrame(plain, "doc_id long, text string, source string")
+    rows = Mixer().decisions(df).collect()
+    assert len(rows) == len(plain)
+    assert sorted(tuple(r) for r in rows if r.doc_id) == sorted(tuple(r) for r in Mixer().decisions(df.repartition(7)).collect() if r.doc_id)
+    sizes = defaultdict(int)
+    for _, t, x in plain:
+        sizes[x] += len(WORD.findall(t))
+    quota = targets_model(sizes)
+    assert all(any(sizes[x] == r.source_size and abs(quota[x] - r.target) < 1e-6 for x in sizes) for r in rows)
+    total = sum(r.taken for r in rows)
+    assert abs(total - sum(quota.values())) <= len(sizes) + 80 and all(r.taken <= 2 * r.size for r in rows)
+    assert len({r.taken for r in rows if r.doc_id == 7777}) == 1
 
 
 def test_mix_overlapping(spark):
@@ -366,3 +453,7 @@ def test_mix_overlapping(spark):
     docs = documents(spark, [f"w{i} x y z" for i in range(90)]).withColumn("source", F.expr("case doc_id % 3 when 0 then array('a') when 1 then array('b', 'a') else array('b', null) end"))
     rows = Mixer(share=1.0).taken(docs).collect()
     assert sum(r.taken for r in rows) == 360 and len(rows) == 90
+    other = docs.withColumn("source", F.expr("case when doc_id % 9 = 0 then array('c') when doc_id % 3 = 0 then array('a') else array('b', 'a') end"))
+    rows = Mixer(weights=(1,), share=1.0).taken(other).collect()
+    # c cannot be filled by others, so that it is taken twice; a and b have documents enough
+    assert sum(r.taken for r in rows) == 360 and all(r.taken == 8 for r in rows if r.doc_id % 9 == 0) and all(r.taken <= 4 for r in rows if r.doc_id % 9)

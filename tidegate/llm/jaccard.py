@@ -23,13 +23,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegate.llm.graph import components
-from tidegate.llm.shared import Stash
-from tidegate.llm.words import mix, scan, shingles, slices
+from tidegate.llm.shared import Stash, bounded_batches
+from tidegate.llm.words import mix, returned, scan, shingles, slices
 
 #: Shingles whose counts order them last; a bound on what is broadcast, without influence on results.
 FREQUENT = 1 << 16
 FREQUENT_FROM = 32
 BROADCAST_IDS = 1_000_000
+#: Shingles that are counted together before a task hands out what repeats.
+HELD = 1 << 20
 _FLIP = np.uint64(1 << 63)
 
 
@@ -46,20 +48,35 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
             yield part, h, np.searchsorted(row, np.arange(part.num_rows + 1), side="left")
 
 
+@returned
 def _repeated(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Shingles found in several rows of a batch, with their counts: those of any frequent shingle add up to almost all of it."""
-    for batch in batches:
-        found = np.sort(np.concatenate([np.zeros(0, np.uint64), *(h for _, h, _ in _sets(iter([batch]), k))]))
-        at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    """Shingles found in several of some neighbouring rows, with their counts: those of any frequent shingle add up to
+    almost all of it."""
+
+    def counted() -> pa.RecordBatch:
+        found = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
         count = np.diff(np.append(at, len(found)))
         many = count > 1
-        yield pa.RecordBatch.from_arrays([pa.array(found[at[many]].view(np.int64)), pa.array(count[many].astype(np.int64))], ["h", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(found[at[many]].view(np.int64)), pa.array(count[many].astype(np.int64))], ["h", "c"])
+
+    held: list[np.ndarray] = []
+    n = 0
+    for _, h, _ in _sets(batches, k):
+        held.append(h)
+        n += len(h)
+        if n >= HELD:
+            yield counted()
+            held, n = [], 0
+    if n:
+        yield counted()
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+@returned
 def _described(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Per row: set size, set fingerprint, and its prefix: infrequent shingles first by hash, then frequent ones by count."""
     for part, h, first in _sets(batches, k):
@@ -95,6 +112,7 @@ def _described(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.
         )
 
 
+@returned
 def _whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for part, h, first in _sets(batches, k):
         yield pa.RecordBatch.from_arrays([part.column(0), _lists(h, np.diff(first))], ["node", "items"])
@@ -117,6 +135,7 @@ class JaccardJoin:
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id), a row per input row; component_id is the smallest id in reach of links."""
         spark = docs.sparkSession
+        bounded_batches(spark)
         stash = Stash(spark)
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         hot, rank = self._frequent(docs)

@@ -18,8 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm.shared import bounded_batches
 from tidegate.llm.tokens import tokenizer_at
-from tidegate.llm.words import slices
+from tidegate.llm.words import returned, slices
 
 TIERS = (256, 512, 1024, 2048)
 STEP = 8
@@ -142,6 +143,7 @@ class _Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
 
+@returned
 def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tuple[int, ...], step: int) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     packer = _Packer(tiers, step, (context.partitionId() if context else 0) << 32)
@@ -166,6 +168,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[i
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers must be rising powers of two")
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         partial(_packed, path=tokenizer_path, end_id=end_id, tiers=tuple(tiers), step=step), SCHEMA
     )

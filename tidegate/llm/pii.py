@@ -10,14 +10,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.words import slices
+from tidegate.llm.shared import bounded_batches
+from tidegate.llm.words import returned, slices
 
 #: Kinds with fixed definitions, in their order for equal starts; the others are what the cues add.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -225,6 +226,7 @@ def mask_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+@returned
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -232,6 +234,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, _SPANS)], ["doc_id", "spans"])
 
 
+@returned
 def _mask(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = batch.schema.field(at)
@@ -246,6 +249,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows are independent of each other: repeated rows give repeated results, and no shuffle takes place. Other columns
     are ignored.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _find, "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
     )
@@ -253,8 +257,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans in its texts replaced by their kinds; nulls and all other columns stay as they are."""
-    from functools import partial
-
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(partial(_mask, at=docs.columns.index(text_col)), docs.schema)
 
 

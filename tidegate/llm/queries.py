@@ -75,7 +75,7 @@ def op9_url_language_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_min_cost_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegate.llm.mixing import Mixer
 
-    return Mixer().taken(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
+    return Mixer().decisions(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegate.llm.shared import Stash
-from tidegate.llm.words import Words, mix, scan, slices, windows
+from tidegate.llm.shared import Stash, bounded_batches
+from tidegate.llm.words import Words, mix, returned, scan, slices, windows
 
 PASSAGE = 50
 ANCHOR = 25
@@ -53,6 +53,7 @@ def _minimisers(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+@returned
 def _anchors(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, at, key, whole): retained suffixes; whole is the hash of the context of w - 1 words to both sides."""
     for batch in batches:
@@ -72,6 +73,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([ids, pa.array((at - lo).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64))], ["doc_id", "at", "key", "whole"])
 
 
+@returned
 def _contexts(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, at, key, after, before): 4 bytes for each of up to w - 1 words behind the anchor and before it, the
     latter from right to left; big-endian, so that bytes sort as words do."""
@@ -111,6 +113,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 FOUND = "doc_id long, start int, end int, key long, hi long"
 
 
+@returned
 def _extended(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
     """Neighbours of the sorted suffixes compared: FOUND, either a stretch that could be repeated, by the hash of its
     words, or a span that surely is.
@@ -183,6 +186,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANC
     if not 1 <= anchor < passage:
         raise ValueError("anchor must be shorter than passage")
     k, w = anchor, passage - anchor + 1
+    bounded_batches(docs.sparkSession)
     stash = Stash(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     anchors = stash.keep(texts.mapInArrow(partial(_anchors, k=k, w=w), "doc_id long, at int, key long, whole long"), "anchors")

@@ -7,8 +7,11 @@ cumulative sum. Nulls have no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,8 @@ import pyarrow as pa
 SPACES = bytes([32, 9, 10, 11, 12, 13])
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_WORD = 1 << 64
+_INVERSE = pow(_BASE, -1, _WORD)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -30,20 +34,36 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes, or words, whose products are held at a time; this bounds what scanning a text of any length needs beside it.
+BLOCK = 1 << 17
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max([SLICE_BYTES, 1 << max(0, n - 1).bit_length(), *_powers])
-    if size not in _powers:
-        _powers.clear()
-        out = []
-        for base in (_BASE, _INVERSE):
-            p = np.ones(size + 1, dtype=np.uint64)
-            p[1:] = np.uint64(base)
-            out.append(np.multiply.accumulate(p))
-        _powers[size] = (out[0], out[1])
-    return _powers[size]
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWER, _INVERSE_POWER = _powers(_BASE), _powers(_INVERSE)
+
+
+def _polynomials(values: Callable[[int, int], np.ndarray], n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The sum of v[i] * BASE**(i - s) over s <= i < e for each s and e of rising ``start`` and ``end``, where
+    ``values(lo, hi)`` gives v[lo:hi] of n values. Done a block at a time, so that the power tables have a fixed size."""
+    head, tail, scale = (np.zeros(len(start), dtype=np.uint64) for _ in range(3))
+    carry, power, inverse = 0, 1, 1
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        total = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum(values(lo, hi) * _POWER[: hi - lo], out=total[1:])
+        total = total * np.uint64(power) + np.uint64(carry)
+        a, b = np.searchsorted(start, [lo, hi])
+        at = start[a:b] - lo
+        head[a:b], scale[a:b] = total[at], _INVERSE_POWER[at] * np.uint64(inverse)
+        a, b = np.searchsorted(end, [lo + 1, hi + 1])
+        tail[a:b] = total[end[a:b] - lo]
+        carry, power, inverse = int(total[-1]), power * int(_POWER[-1]) % _WORD, inverse * int(_INVERSE_POWER[-1]) % _WORD
+    return (tail - head) * scale
 
 
 @dataclass
@@ -94,10 +114,9 @@ def scan(column: pa.Array, lower: bool, breaks: bytes = SPACES) -> Words:
         heads, tails = offsets[:-1][full], offsets[1:][full] - 1
         begins[heads], ends[tails] = inside[heads], inside[tails]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _power_tables(n)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER if lower else _BYTES)[data] * power[:n], out=total[1:])
-    hashed = mix((total[end] - total[start]) * inverse[start])
+    del inside, begins, ends
+    table = _LOWER if lower else _BYTES
+    hashed = mix(_polynomials(lambda lo, hi: table[data[lo:hi]], n, start, end))
     row = np.searchsorted(offsets[:-1], start, side="right") - 1
     first = np.searchsorted(row, np.arange(len(offsets)), side="left")
     return Words(hashed, row, start, end, first, data, offsets)
@@ -146,7 +165,26 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k consecutive values, whatever rows they belong to."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(h))
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * power[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * inverse[: len(h) - k + 1])
+    start = np.arange(len(h) - k + 1)
+    return mix(_polynomials(lambda lo, hi: h[lo:hi], len(h), start, start + k))
+
+
+def returned(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function of batches that gives its freed memory back when a partition ends, as workers outlive partitions."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch], *args, **kwargs) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches, *args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return run
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's malloc_trim, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
