@@ -106,6 +106,36 @@ def test_sliding_window(spark, limit, times, want):
     assert [r.allowed for r in got] == want
 
 
+def test_hot_keys_in_slots(spark, monkeypatch):
+    """Slots of few numbers give the same counts as one."""
+    rows = spark.createDataFrame([(i, "k" if i % 3 else None, i * i * 7, f"t{i % 5}") for i in range(120)], "seq long, key string, now_ms long, target string").repartition(5)
+    runs = lambda: (
+        sorted(map(tuple, ratelimit.counted(rows, "key", [1000, 5000], ["a_", "b_"]).collect()), key=str),
+        sorted(map(tuple, velocity.distinct_so_far(rows, "key", "target", 10_000, 2).collect()), key=str),
+        sorted(map(tuple, ratelimit.steadied(rows.withColumn("now_ms", F.col("now_ms") % 1000), "key").collect()), key=str),
+    )
+    whole = runs()
+    for module in (ratelimit, velocity):
+        monkeypatch.setattr(module, "SLOT", 8)
+    assert runs() == whole and len(whole[0]) == len(whole[1]) == 120
+    state = {}
+    for seq, key, now, _, *got in sorted(whole[0], key=lambda r: r[0]):
+        for width, (current, previous, estimate) in ((1000, got[:3]), (5000, got[3:])):
+            w, a, b = state.get((key, width), (now // width, 0, 0))
+            a, b = (a, b) if now // width == w else (0, a if now // width == w + 1 else 0)
+            state[key, width] = (now // width, a + 1, b)
+            assert (current, previous, estimate) == (a + 1, b, a + 1 + b * ((width - now % width) / width))
+
+
+def test_time_that_goes_back(spark):
+    with pytest.raises(Exception, match="time goes back"):
+        ratelimit.limited(hits(spark, [2500, 1500, 2600]), "key", 1000, 5).collect()
+    rows = ratelimit.steadied(hits(spark, [2500, 1500, 2600]), "key")
+    got = ratelimit.counted(rows, "key", [1000], window_ms="steady_ms").orderBy("seq").collect()
+    assert [r.current for r in got] == [1, 2, 3] and [r.now_ms for r in got] == [2500, 1500, 2600]
+    assert ratelimit.limited(hits(spark, [2500, 2400, 2600]), "key", 1000, 5).count() == 3
+
+
 def test_rules(spark):
     rules = (Rule("lenient", 1000, 100, "throttle"), Rule("strict", 1000, 2, "block"), Rule("later", 1000, 1, "challenge"))
     got = ratelimit.judged(hits(spark, [0] * 3), "key", rules).orderBy("seq").collect()
@@ -253,7 +283,7 @@ def lp(b):
     return struct.pack("<I", len(b)) + b
 
 
-def test_records_and_chain(spark):
+def test_records_and_chain(spark, monkeypatch):
     df, rows = records(spark)
     chained = changelog.chained(changelog.encoded(df)).withColumn("frame", changelog.framed())
     got = {r.seq: r for r in chained.collect()}
@@ -270,9 +300,14 @@ def test_records_and_chain(spark):
         assert bytes(r.payload) == data and r.crc == zlib.crc32(data) and bytes(r.chain) == before[shard]
         assert bytes(r.frame) == struct.pack("<II", len(data), zlib.crc32(data)) + before[shard] + data
     checked = changelog.verified(chained.drop("frame"))
-    assert changelog.first_break(checked).count() == 0
+    assert changelog.first_break(checked).count() == 0 and checked.count() == len(rows)
+    assert {r.shard: bytes(r.root) for r in changelog.roots(chained).collect()} == before
+    monkeypatch.setattr(changelog, "SLOT", 4)
+    assert changelog.first_break(changelog.verified(chained)).count() == 0
+    lost = changelog.verified(chained.where("seq not in (8, 9, 16, 17)"))
+    assert sorted((r.shard, r.position) for r in changelog.first_break(lost).collect()) == [(0, 5), (1, 5)]
     patched = chained.drop("frame").withColumn("payload", F.when(F.col("seq") == 11, F.lit(b"x")).otherwise(F.col("payload"))).withColumn("crc", F.crc32("payload"))
-    assert [(r.shard, r.position) for r in changelog.first_break(changelog.verified(patched)).collect()] == [(1, 11)]
+    assert [(r.shard, r.position) for r in changelog.first_break(changelog.verified(patched), order="seq").collect()] == [(1, 11)]
 
 
 def test_recovery_and_compaction(spark):
@@ -285,7 +320,7 @@ def test_recovery_and_compaction(spark):
     kept = {r[2]: r[1] for r in rows if r[1] <= (10, 3)[r[0]]}
     assert {r.key: r.seq for r in changelog.latest(changelog.recovered(df, flushed), ["seq"]).collect()} == kept
     small = changelog.compacted(changelog.chained(changelog.encoded(df)), F.col("tag") == 1)
-    assert changelog.first_break(changelog.verified(small, order="key"), order="key").count() == 0
+    assert changelog.first_break(changelog.verified(small)).count() == 0
     assert {r.key for r in small.collect()} == {k for k, s in model.items() if s % 2}
     assert one(spark, a=changelog.tail_class(F.lit(39), F.lit(0)), b=changelog.tail_class(F.lit(50), F.lit(20)), c=changelog.tail_class(F.lit(60), F.lit(20))) == ("torn", "torn", "corrupt")
 
@@ -298,6 +333,31 @@ def requests(spark, rows):
     return spark.createDataFrame([(i, now, who, key, "POST", target, body, status) for i, (now, who, key, target, body, status) in enumerate(rows)], schema)
 
 
+def test_operational_requests_and_nulls(spark):
+    rows = [(0, "ip", "k", "/healthz", "b", 201)] * 5 + [(0, "ip", None, "/metrics?a=b", None, 200), (0, "ip", "n", None, None, 201), (1, "ip", "n", None, None, 201)]
+    done = pipeline.handled(requests(spark, rows), (Rule("r", 1000, 2, "block"),), b"k" * 32, Leases())
+    got = done.orderBy("seq").collect()
+    assert [(r.outcome, r.status) for r in got] == [("operational", 200)] * 6 + [("created", 201), ("replayed", 201)]
+    assert metrics.merged(metrics.counters(done)).first().requests_total == 2
+    sent = {r.seq: r for r in pipeline.responses(done.withColumn("backend_body", F.concat(F.lit("b"), "seq")), "backend_body", "text\n").collect()}
+    shown = lambda i: ([tuple(h) for h in sent[i].headers], sent[i].body)
+    assert shown(0) == ([("Gate-Status", "healthy")], "ok") and shown(5) == ([("Content-Type", "text/plain; version=0.0.4")], "text\n")
+    assert shown(6) == ([("Gate-Status", "created")], "b6") and shown(7) == ([("Gate-Status", "replayed")], "b6")
+    caps = spark.createDataFrame([(1, None), (2, "abc"), (3, "abcd")], "i long, body string")
+    fits, over = req.within_cap(caps, 3)
+    assert sorted(r.i for r in fits.collect()) == [1, 2] and [(r.i, r.status) for r in over.collect()] == [(3, 413)]
+
+
+def test_responses_of_denied_and_failed(spark):
+    rows = [(0, "a", None, "/x", "b", 503), (0, "a", "k", "/x", "b", None), (0, "a", "k", "/x", "b", 201), (0, "a", "k", "/x", "c", 201), (0, "a", None, "/x", "b", 201)]
+    done = pipeline.handled(requests(spark, rows), (Rule("r", 1000, 4, "throttle"),), b"k" * 32, Leases()).withColumn("backend_body", F.lit("own"))
+    got = pipeline.responses(done, "backend_body", "").orderBy("seq").collect()
+    assert [(r.status, [tuple(h) for h in r.headers], r.body) for r in got] == [
+        (503, [], "own"), (502, [("Gate-Status", "upstream-error")], ""), (409, [("Gate-Status", "in-progress")], ""), (422, [("Gate-Status", "mismatch")], ""),
+        (429, [("Gate-Status", "denied"), ("Gate-Rule", "r"), ("Gate-Action", "throttle")], ""),
+    ]
+
+
 def handle(spark, rows, rules=(), leases=None):
     got = pipeline.handled(requests(spark, rows), rules, b"k" * 32, leases or Leases(1000, 10**9)).orderBy("seq").collect()
     return [(r.outcome, r.status) for r in got]
@@ -361,6 +421,56 @@ def test_log_files(spark, tmp_path):
         assert tag == 0 or (r.completed_at_ms, r.status, r.headers, bytes(r.body)) == (done, status, headers, body)
 
 
+def test_log_is_opened_or_refused(spark, tmp_path):
+    from tidegate.sources.logfile import current, open_log, replaced
+
+    df, rows = records(spark)
+    own = changelog.chained(changelog.encoded(df)).withColumn("frame", changelog.framed())
+    frames = [bytes(r.frame) for r in own.where("shard = 1").orderBy("seq").collect()]
+    keys = [r[2] for r in rows if r[0] == 1]
+
+    def opened(*data):
+        folder = tmp_path / f"log{len(list(tmp_path.iterdir()))}"
+        folder.mkdir()
+        (folder / "one").write_bytes(b"".join(data))
+        return [(r.key, bytes(r.chain)) for r in open_log(spark, f"file://{folder}").orderBy("position").collect()]
+
+    assert [k for k, _ in opened(*frames)] == keys and [k for k, _ in opened(*frames, b"junk!")] == keys
+    assert [k for k, _ in opened(*frames[:-1], frames[-1][:-1])] == keys[:-1] and opened(b"") == []
+    flipped = frames[1][:45] + bytes([frames[1][45] ^ 1]) + frames[1][46:]
+    with pytest.raises(ValueError, match="corrupt"):
+        opened(frames[0], flipped, *frames[2:])
+    payload = flipped[40:]
+    with pytest.raises(ValueError, match="follow"):
+        opened(frames[0], struct.pack("<II", len(payload), zlib.crc32(payload)) + flipped[8:40] + payload, *frames[2:])
+    with pytest.raises(ValueError, match="follow"):
+        opened(frames[0], *frames[2:])
+    with pytest.raises(ValueError, match="follow"):
+        opened(frames[1], frames[0])
+    place = f"file://{tmp_path}/table"
+    assert current(spark, place) is None
+    for n in (200, 3):
+        assert replaced(spark.range(n), place) == current(spark, place) and spark.read.parquet(current(spark, place)).count() == n
+
+
+def test_frames_of_a_log(spark):
+    df, _ = records(spark, 4)
+    frame = [bytes(r.frame) for r in changelog.chained(changelog.encoded(df)).withColumn("frame", changelog.framed()).collect()][0]
+    cases = [(frame, None), (b"", "torn"), (frame[:39], "torn"), (frame[:-1], "torn"), (frame[:-1] + bytes([frame[-1] ^ 1]), "corrupt"), (frame + b"more", None), (b"\xff" * 60, "torn")]
+    rows = spark.createDataFrame([(i, bytearray(f)) for i, (f, _) in enumerate(cases)], "i long, frame binary")
+    assert [r.tail for r in rows.select("i", changelog.tail_of(F.col("frame")).alias("tail")).orderBy("i").collect()] == [w for _, w in cases]
+
+
+def test_states_that_a_crash_leaves(spark):
+    """Completed keys replay, what was in progress waits for its lease, and tokens from before do not fit after it."""
+    restored = [(0, "done", "restored_completed", "a", 10_000, 3, 201), (0, "open", "restored_in_progress", "a", 5_000, 2, None), (0, "old", "restored_completed", "a", 500, 1, 201)]
+    rows = restored + [(1, "done", "begin", "a", 1000, None, None), (2, "done", "begin", "z", 1000, None, None), (3, "open", "begin", "a", 1000, None, None), (4, "open", "begin", "a", 5000, None, None)]
+    rows += [(5, "open", "complete", None, 5001, 2, 201), (6, "open", "complete", None, 5001, 3, 201), (7, "old", "begin", "z", 1000, None, None)]
+    got = {r.seq: r for r in decide(spark, rows, Leases(1000, 10_000)).where("seq > 0").collect()}
+    assert [got[i].decision for i in range(1, 8)] == ["replay", "mismatch", "in_progress", "run", "stale_fence", "ok", "run"]
+    assert got[1].outcome_status == 201 and got[4].fence == 3 and got[7].fence == 2
+
+
 def test_events_without_user(spark):
     import datetime
 

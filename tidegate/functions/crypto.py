@@ -51,8 +51,9 @@ def le_bytes(data: Column) -> Column:
 
 
 def fingerprint(method: Column, target: Column, body: Column, key: bytes) -> Column:
-    """Keyed digest of method, whole target and body, each behind its length, so that fields cannot run together."""
-    fields = [c.cast("binary") for c in (method, target, body)]
+    """Keyed digest of method, whole target and body, each behind its length, so that fields cannot run together. A null
+    field is empty."""
+    fields = [F.coalesce(c.cast("binary"), F.lit(b"")) for c in (method, target, body)]
     return hmac_sha256(key, F.concat(*[x for c in fields for x in (be32(F.octet_length(c)), c)]))
 
 

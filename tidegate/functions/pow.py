@@ -17,7 +17,7 @@ CHUNK = 4096
 
 
 def window_index(now_ms: Column, window_ms: int) -> Column:
-    return F.floor(now_ms / F.lit(window_ms)).cast("long")
+    return ((now_ms - F.pmod(now_ms, F.lit(window_ms))) / F.lit(window_ms)).cast("long")
 
 
 def challenge(secret: bytes, identity: Column, request_hash: Column, window: Column) -> Column:

@@ -9,9 +9,9 @@ OUTCOMES = ("created", "replayed", "in_progress", "mismatch", "denied", "upstrea
 
 
 def counters(decisions: DataFrame, *groups: str) -> DataFrame:
-    """One column for each outcome, and requests_total: all but what was denied."""
+    """One column for each outcome, and requests_total: all but what was denied, or answered by the gate itself."""
     return decisions.groupBy(*groups).agg(
-        F.count_if(F.col("outcome") != "denied").alias("requests_total"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
+        F.count_if(~F.col("outcome").isin("denied", "operational")).alias("requests_total"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
     )
 
 

@@ -12,7 +12,7 @@ LIMIT = 4
 RULES = (Rule("burst-per-hour", HOUR, 2, "challenge"), Rule("steady-per-day", DAY, 4, "throttle"), Rule("heavy-per-week", 7 * DAY, 14, "block"))
 LEASES = Leases(lease_ms=2 * DAY, ttl_ms=5 * DAY)
 SECRET = hashlib.sha256(b"an example secret").digest()
-SHARDS = 4
+SHARDS = 32
 
 REQUESTS = """req AS (
   SELECT event_id AS seq, epoch_us(ts) // 1000 AS now_ms, CAST(user_id AS VARCHAR) AS identity, CAST(user_id AS VARCHAR) || '-' || event_type AS idem_key,
@@ -48,7 +48,7 @@ def hmac_sql(message: str, key: bytes = SECRET) -> str:
 
 
 def fingerprint_sql(*fields: str) -> str:
-    return hmac_sql(" || ".join(f"unhex(printf('%08x', octet_length(encode({f})))) || encode({f})" for f in fields))
+    return hmac_sql(" || ".join(f"unhex(printf('%08x', octet_length(encode(coalesce({f}, ''))))) || encode(coalesce({f}, ''))" for f in fields))
 
 
 def steps_sql(source: str, lease_ms: int, ttl_ms: int) -> str:

@@ -120,27 +120,34 @@ def exactly_once_audit(spark, sf_dir):
 
 
 def _gateway_sql() -> str:
-    parts, source = [], "req"
+    parts, source = [], "rest"
     for i, r in enumerate(RULES):
         parts.append(f"c{i} AS ({sliding(source, r.window_ms, f'r{i}_')})")
         source = f"c{i}"
     case = lambda what: "CASE " + " ".join(f"WHEN r{i}_estimate > {r.limit} THEN '{getattr(r, what)}'" for i, r in enumerate(RULES)) + " END"
-    return f"""WITH RECURSIVE {REQUESTS}, {', '.join(parts)},
+    return f"""WITH RECURSIVE {REQUESTS}, gr AS (
+  SELECT * REPLACE (CASE WHEN seq % 23 = 0 THEN '/healthz' WHEN seq % 29 = 0 THEN '/metrics?x=1' WHEN seq % 31 = 0 THEN NULL ELSE target END AS target, CASE WHEN seq % 13 <> 0 THEN '{{}}' END AS body),
+    coalesce(seq % 23 = 0 OR seq % 29 = 0, false) AS own FROM req
+), rest AS (SELECT * FROM gr WHERE NOT own), {', '.join(parts)},
 v AS (SELECT *, {case('name')} AS rule, {case('action')} AS action, CASE WHEN seq % 10 = 0 THEN NULL ELSE idem_key END AS ik FROM {source}),
-o AS (SELECT ik AS key, seq, {fingerprint_sql('method', 'target', "'{}'")} AS fp, now_ms, backend_status AS status FROM v WHERE rule IS NULL AND ik IS NOT NULL),
+o AS (SELECT ik AS key, seq, {fingerprint_sql('method', 'target', 'body')} AS fp, now_ms, backend_status AS status FROM v WHERE rule IS NULL AND ik IS NOT NULL),
 {steps_sql('o', LEASES.lease_ms, LEASES.ttl_ms)},
 g AS (
-  SELECT v.seq, v.identity, v.now_ms, rule, action, v.ik, CASE WHEN rule IS NOT NULL THEN 'denied' WHEN ik IS NULL THEN 'passthrough' ELSE decision END AS outcome, backend_status,
+  SELECT v.seq, v.identity, v.target, v.now_ms, rule, action, v.ik, CASE WHEN rule IS NOT NULL THEN 'denied' WHEN ik IS NULL THEN 'passthrough' ELSE decision END AS outcome, backend_status,
     CASE WHEN decision IN ('created', 'replayed') THEN outcome_seq END AS outcome_seq
   FROM v LEFT JOIN st ON st.seq = v.seq
 ), a AS (
   SELECT g.*, CAST(CASE outcome WHEN 'denied' THEN 429 WHEN 'mismatch' THEN 422 WHEN 'in_progress' THEN 409 WHEN 'replayed' THEN s.backend_status ELSE g.backend_status END AS INTEGER) AS status
   FROM g LEFT JOIN req s ON s.seq = g.outcome_seq
+  UNION ALL SELECT seq, identity, target, now_ms, NULL, NULL, NULL, 'operational', backend_status, NULL, 200 FROM gr WHERE own
 )"""
 
 
 def _handled(spark, sf_dir):
-    rows = read_events(spark, sf_dir).withColumns({"idem_key": F.when(F.col("seq") % 10 != 0, F.col("idem_key")), "body": F.lit("{}")})
+    """Some requests ask for operational endpoints, some have no target, body or key."""
+    seq = F.col("seq")
+    target = F.when(seq % 23 == 0, "/healthz").when(seq % 29 == 0, "/metrics?x=1").when(seq % 31 != 0, F.col("target"))
+    rows = read_events(spark, sf_dir).withColumns({"idem_key": F.when(seq % 10 != 0, F.col("idem_key")), "body": F.when(seq % 13 != 0, "{}"), "target": target})
     return pipeline.handled(rows, RULES, SECRET, LEASES)
 
 
@@ -149,7 +156,7 @@ def gateway_pipeline(spark, sf_dir):
     return _handled(spark, sf_dir).select("seq", "identity", "outcome", "status", "rule", "action", "outcome_seq")
 
 
-_COUNTS = "count(*) FILTER (outcome <> 'denied') AS requests_total, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in metrics.OUTCOMES)
+_COUNTS = "count(*) FILTER (outcome NOT IN ('denied', 'operational')) AS requests_total, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in metrics.OUTCOMES)
 
 
 @query(f"{_gateway_sql()} SELECT {_COUNTS} FROM a")
@@ -172,6 +179,24 @@ def prometheus_text(spark, sf_dir):
     return metrics.exposition(metrics.counters(_handled(spark, sf_dir)))
 
 
+_LINES = " || chr(10) || ".join(_TEXT)
+
+
+@query(f"""{_gateway_sql()}, t AS (SELECT {_COUNTS} FROM a), x AS (SELECT {_LINES} || chr(10) AS text FROM t), b AS (SELECT a.*, string_split(target, '?')[1] AS path FROM a)
+SELECT seq, status, array_to_string(list_filter([
+    CASE WHEN outcome = 'operational' AND path = '/metrics' THEN 'Content-Type: text/plain; version=0.0.4' END,
+    'Gate-Status: ' || CASE WHEN outcome = 'operational' AND path = '/healthz' THEN 'healthy' ELSE MAP {{'created': 'created', 'replayed': 'replayed', 'in_progress': 'in-progress', 'mismatch': 'mismatch', 'denied': 'denied'}}[outcome] END,
+    'Gate-Rule: ' || rule, 'Gate-Action: ' || action], lambda h: h IS NOT NULL), ', ') AS headers,
+  CASE WHEN outcome = 'operational' AND path = '/healthz' THEN 'ok' WHEN outcome = 'operational' THEN x.text WHEN outcome = 'replayed' THEN 'made by ' || outcome_seq
+    WHEN outcome IN ('in_progress', 'mismatch', 'denied') THEN '' ELSE 'made by ' || seq END AS body FROM b, x""")
+def gateway_responses(spark, sf_dir):
+    """What is sent back for each request: status, headers, body."""
+    rows = _handled(spark, sf_dir).withColumn("backend_body", F.concat(F.lit("made by "), F.col("seq").cast("string")))
+    lines = metrics.exposition(metrics.merged(metrics.counters(rows))).orderBy("line_no").collect()  # one row of counters as text
+    out = pipeline.responses(rows, "backend_body", "".join(f"{r.line}\n" for r in lines))
+    return out.withColumn("headers", F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), ", "))
+
+
 @query(f"WITH {REQUESTS} SELECT {shard_sql('idem_key')} AS shard, count(*) AS n, count(DISTINCT idem_key) AS keys FROM req GROUP BY shard")
 def route_by_key(spark, sf_dir):
     rows = read_events(spark, sf_dir)
@@ -262,7 +287,7 @@ def http_render_request(spark, sf_dir):
     return read_events(spark, sf_dir).select("seq", req.rendered_request(F.col("method"), F.col("target"), headers, F.col("body")).alias("text"))
 
 
-@query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, CASE WHEN n <= 4096 THEN 200 ELSE 413 END AS status FROM d WHERE n IS NOT NULL""")
+@query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, CASE WHEN coalesce(n, 0) <= 4096 THEN 200 ELSE 413 END AS status FROM d""")
 def body_cap_rejects(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("body"))
     fits, rest = req.within_cap(docs, 4096)

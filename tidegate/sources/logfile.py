@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from struct import Struct, error, unpack_from
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegate.operators.changelog import HEADER
+from tidegate.operators.changelog import HEADER, framed, verified
 from tidegate.schema import COMPLETED, IN_PROGRESS
 
 FIELDS = (
@@ -96,5 +98,54 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """LOG: a row for each record of each file, in order of ``position``, and one more for a rest that cannot be read:
-    ``tail`` is torn where the frame is not all there (a crash), else corrupt. A file is read by one task."""
+    ``tail`` is torn where the frame is not all there (a crash), else corrupt. A log is a folder of files, each a chain of
+    its own that one task reads."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_split, LOG)
+
+
+def problems(log: DataFrame) -> DataFrame:
+    """(path, at, problem) of what makes LOG rows unusable: a complete frame that does not check, or a record whose link
+    does not follow from the one before. A torn rest is none."""
+    links = verified(log.where("tail is null"), shard="path").where("not chain_ok")
+    broken = links.groupBy("path").agg(F.min("at").alias("at")).withColumn("problem", F.lit("a record does not follow from the one before"))
+    return broken.unionByName(log.where("tail = 'corrupt'").select("path", "at", F.lit("a complete record is corrupt").alias("problem")))
+
+
+def open_log(spark: SparkSession, path: str) -> DataFrame:
+    """path, position, chain and FIELDS of all records of the log files at ``path``. A torn rest, which a crash leaves, is
+    left out; a log that is damaged otherwise is refused with ValueError, as cutting it there would lose what follows."""
+    log = read_log(spark, path)
+    if bad := problems(log).orderBy("path", "at").limit(1).collect():
+        raise ValueError(f"{bad[0].path} at byte {bad[0].at}: {bad[0].problem}")
+    rows = log.where("tail is null").withColumn("frame", framed())
+    return decoded(rows, ["path", "position", "chain"])
+
+
+def _names(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the table that the pointer file at ``path`` names; None before the first one is written."""
+    _, place, fs = _names(spark, f"{path}/CURRENT")
+    return f"{path}/{spark.read.text(place.toString()).first()[0]}" if fs.exists(place) else None
+
+
+def replaced(table: DataFrame, path: str) -> str:
+    """Writes ``table`` to a new folder under ``path`` and then swaps the pointer file, in one rename: whoever reads the
+    pointer sees the old table or the new one, whenever the writer is lost. The old folder stays until it is deleted."""
+    spark = table.sparkSession
+    name = f"v-{uuid.uuid4().hex}"
+    table.write.parquet(f"{path}/{name}")
+    jvm, fresh, fs = _names(spark, f"{path}/.{name}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT"), options)
+    return f"{path}/{name}"

@@ -135,8 +135,8 @@ def rendered_request(method: Column, target: Column, headers: Column, body: Colu
 
 
 def within_cap(requests: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with status 413) by size of the body."""
-    fits = F.octet_length("body") <= cap
+    """(accepted, rejected with status 413) by size of the body; a null one is empty."""
+    fits = F.coalesce(F.octet_length("body"), F.lit(0)) <= cap
     return requests.where(fits), requests.where(~fits).withColumn("status", F.lit(413))
 
 
