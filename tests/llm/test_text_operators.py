@@ -100,6 +100,33 @@ def test_jaccard_empty_and_null_ids(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
 
 
+def test_jaccard_several_texts_of_an_id(spark):
+    """The links of any of an id's texts are its own."""
+    from tidegate.llm.jaccard import JaccardJoin, keep_one
+
+    x, y, z = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(5, x), (5, y), (2, x), (4, y), (7, z), (7, z), (7, "other words"), (None, z), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = JaccardJoin().components(df).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(5, 2), (2, 2), (4, 2), (7, 7), (None, None), (9, 9)}
+    kept = sorted(((r.doc_id, r.text) for r in keep_one(df).collect()), key=str)
+    assert [d for d, _ in kept] == [2, 7, 9, None] and kept[0][1] == x
+
+
+def test_shingle_counts(spark, monkeypatch):
+    """Counts are those of documents, whatever they are dealt into."""
+    from tidegate.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 256)
+    monkeypatch.setattr(jaccard, "HELD", 50)
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 60))) for _ in range(80)] + ["the same line for all of them"] * 12
+    docs = documents(spark, texts).select("doc_id", "text").repartition(3)
+    bits, keys, rank = jaccard.JaccardJoin()._frequent(docs)
+    count = Counter(s for t in texts for s in {tuple(w) for w in zip(*(t.split()[i:] for i in range(5)), strict=False)} or ({tuple(t.split())} if t.split() else set()))
+    assert bits > 2 and sorted(rank) == list(range(1, len(keys) + 1)) and len(keys) == sum(c >= jaccard.FREQUENT_FROM for c in count.values())
+
+
 # -- suffix arrays
 
 

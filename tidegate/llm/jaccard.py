@@ -26,9 +26,11 @@ from tidegate.llm.graph import components
 from tidegate.llm.shared import Stash, bounded_batches
 from tidegate.llm.words import mix, returned, scan, shingles, slices
 
-#: Shingles whose counts order them last; a bound on what is broadcast, without influence on results.
-FREQUENT = 1 << 16
-FREQUENT_FROM = 32
+#: The most frequent shingles, whose counts order them last; a bound on what is broadcast, without influence on results.
+FREQUENT = 1 << 20
+FREQUENT_FROM = 8
+#: Bytes of text to each bucket in which shingles are counted.
+BUCKET_BYTES = 1 << 23
 BROADCAST_IDS = 1_000_000
 #: Shingles that are counted together before a task hands out what repeats.
 HELD = 1 << 20
@@ -48,17 +50,30 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
             yield part, h, np.searchsorted(row, np.arange(part.num_rows + 1), side="left")
 
 
-@returned
-def _repeated(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Shingles found in several of some neighbouring rows, with their counts: those of any frequent shingle add up to
-    almost all of it."""
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and where each one's run begins."""
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[at], at
+
 
-    def counted() -> pa.RecordBatch:
-        found = np.sort(np.concatenate(held))
-        at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        count = np.diff(np.append(at, len(found)))
-        many = count > 1
-        return pa.RecordBatch.from_arrays([pa.array(found[at[many]].view(np.int64)), pa.array(count[many].astype(np.int64))], ["h", "c"])
+@returned
+def _hashes(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """All shingles of HELD at a time, each once with its count, dealt by the first ``bits`` of their hashes: per bucket the
+    next 32 bits of those found once, those of the others, and the counts of these. What is cut off could at worst make two
+    shingles share a count, which only their order follows."""
+
+    def dealt() -> pa.RecordBatch:
+        found, at = _runs(np.sort(np.concatenate(held) >> np.uint64(32 - bits)))
+        count = np.diff(np.append(at, n))
+        bucket = (found >> np.uint64(32)).astype(np.int64)
+        key = (found & np.uint64(0xFFFFFFFF)).astype("<u4")
+        buckets, first = _runs(bucket)
+        columns: list[list[bytes]] = [[], [], []]
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+            one = count[lo:hi] == 1
+            for out, x in zip(columns, (key[lo:hi][one], key[lo:hi][~one], count[lo:hi][~one].astype("<i8")), strict=True):
+                out.append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(buckets), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "ones", "more", "counts"])
 
     held: list[np.ndarray] = []
     n = 0
@@ -66,10 +81,37 @@ def _repeated(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         held.append(h)
         n += len(h)
         if n >= HELD:
-            yield counted()
+            yield dealt()
             held, n = [], 0
     if n:
-        yield counted()
+        yield dealt()
+
+
+@returned
+def _counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(key, c) of the shingles with counts of ``least`` and more, from rows that stand together by bucket."""
+
+    def summed() -> pa.RecordBatch:
+        ones = np.frombuffer(b"".join(own[0]), "<u4")
+        key = np.concatenate([ones, np.frombuffer(b"".join(own[1]), "<u4")])
+        count = np.concatenate([np.ones(len(ones), np.int64), np.frombuffer(b"".join(own[2]), "<i8")])
+        order = np.argsort(key, kind="stable")
+        keys, at = _runs(key[order])
+        total = np.add.reduceat(count[order], at)
+        many = total >= least
+        return pa.RecordBatch.from_arrays([pa.array((bucket << 32) | keys[many].astype(np.int64)), pa.array(total[many])], ["key", "c"])
+
+    bucket, own = None, ([], [], [])
+    for batch in batches:
+        for b, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket is not None and b != bucket:
+                yield summed()
+                own = ([], [], [])
+            bucket = b
+            for to, x in zip(own, parts, strict=True):
+                to.append(x)
+    if bucket is not None:
+        yield summed()
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -77,7 +119,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 @returned
-def _described(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], k: int, percent: int, bits: int, hot: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Per row: set size, set fingerprint, and its prefix: infrequent shingles first by hash, then frequent ones by count."""
     for part, h, first in _sets(batches, k):
         size = np.diff(first)
@@ -85,8 +127,9 @@ def _described(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.
         other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _FLIP))])
         level = np.zeros(len(h), dtype=np.int64)
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-            level = np.where(hot[at] == h, rank[at] + 1, 0)
+            key = (h >> np.uint64(32 - bits)).view(np.int64)
+            at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+            level = np.where(hot[at] == key, rank[at].astype(np.int64), 0)
         length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
         cold, warm = [], []
         for r in range(len(size)):
@@ -138,10 +181,10 @@ class JaccardJoin:
         bounded_batches(spark)
         stash = Stash(spark)
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        hot, rank = self._frequent(docs)
+        bits, hot, rank = self._frequent(docs)
         described = stash.keep(
             docs.mapInArrow(
-                partial(_described, k=self.k, percent=self.percent, hot=hot, rank=rank),
+                partial(_described, k=self.k, percent=self.percent, bits=bits, hot=hot, rank=rank),
                 "doc_id long, n long, fp long, fq long, cold array<long>, warm array<long>",
             ),
             "described",
@@ -157,8 +200,9 @@ class JaccardJoin:
             "nodes",
         )
         blocks = self._blocks(nodes, stash)
-        links = self._links(docs, blocks, nodes, stash)
+        links = self._links(docs, blocks, nodes, stash).unionByName(self._of_one_id(described, classes, stash))
         named = components(links, stash)
+        stash.drop_but(described, classes, named)
         rows = described.select("doc_id", F.col("n").alias("n_shingles"), "n", "fp", "fq")
         some = F.expr("n > 0 and doc_id is not null")
         linked = (
@@ -167,16 +211,26 @@ class JaccardJoin:
         )
         return linked.unionByName(rows.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
-    def _frequent(self, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def _of_one_id(self, described: DataFrame, classes: DataFrame, stash: Stash) -> DataFrame:
+        """(a, b): links between the classes that the texts of one id are in."""
+        some = described.where("n > 0 and doc_id is not null")
+        several = some.groupBy("doc_id").agg(F.min(F.struct("n", "fp", "fq")).alias("lo"), F.max(F.struct("n", "fp", "fq")).alias("hi")).where("lo <> hi").select("doc_id")
+        own = stash.keep(some.join(several, "doc_id").join(classes, ["n", "fp", "fq"]).select("doc_id", "node").distinct(), "several")
+        return own.groupBy("doc_id").agg(F.min("node").alias("a")).join(own, "doc_id").select("a", F.col("node").alias("b"))
+
+    def _frequent(self, docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+        """Bits that name a bucket, and the keys of the most frequent shingles with their places in the order of counts."""
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(24, max(0, (size // BUCKET_BYTES).bit_length()))
+        dealt = docs.mapInArrow(partial(_hashes, k=self.k, bits=bits), "bucket long, ones binary, more binary, counts binary")
         rows = (
-            docs.mapInArrow(partial(_repeated, k=self.k), "h long, c long")
-            .groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT_FROM)
-            .orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+            dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_counts, least=FREQUENT_FROM), "key long, c long")
+            .orderBy(F.desc("c"), "key").limit(FREQUENT).toArrow()
         )
-        found = rows.column(0).to_numpy().view(np.uint64)
-        rank = np.arange(len(found), 0, -1, dtype=np.int64)  # the most frequent comes last
+        found = rows.column(0).to_numpy()
+        rank = np.arange(len(found), 0, -1, dtype=np.int32)  # the most frequent comes last
         order = np.argsort(found)
-        return found[order], rank[order]
+        return bits, found[order], rank[order]
 
     def _blocks(self, nodes: DataFrame, stash: Stash) -> DataFrame:
         """(h, node, n, pos, centre): the incidence in prefixes, shingles of one class left out. Frequent shingles, whose
@@ -276,8 +330,17 @@ class JaccardJoin:
 
 
 def keep_one(docs: DataFrame, join: JaccardJoin | None = None) -> DataFrame:
-    """Documents without those whose component has a smaller id: one of each group stays. Columns are those of ``docs``."""
+    """One document of each group: rows whose id is the smallest of its component, and of rows that share such an id one.
+    Rows with a null id all stay, as nothing names their group. Columns are those of ``docs``."""
     stash = Stash(docs.sparkSession)
     gone = stash.keep((join or JaccardJoin()).components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     # with few enough ids no text is shuffled
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    kept = docs.join(small(gone), "doc_id", "left_anti")
+    again = stash.keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    row = F.struct(*docs.columns)
+    one = kept.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(row, F.struct(F.xxhash64("text"), F.col("text"))).alias("__row"))
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("__row.*"))
