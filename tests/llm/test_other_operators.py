@@ -63,6 +63,58 @@ def test_top_k_blocks(spark, monkeypatch):
     assert {q: [v[i] for i in sorted(v)] for q, v in got.items()} == top_k_model(rows, lambda i: i % 5 == 0, 3)
 
 
+def found_by(df, k=10):
+    from tidegate.llm.topk import top_k
+
+    got = {}
+    for r in top_k(df, df.where("vec_id % 100 = 0"), k=k).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    return {q: [v[i] for i in sorted(v)] for q, v in got.items()}
+
+
+@pytest.mark.parametrize("size", [1e5, 6e5])
+def test_top_k_of_large_components(spark, size):
+    """Inner products beyond what doubles hold are exact."""
+    rnd = random.Random(5)
+    base = [[rnd.choice((-1, 1)) * size * rnd.random() for _ in range(6)] for _ in range(4)]
+    rows = [(i, [x + rnd.choice((0, 1 / 1024, 2 / 1024)) for x in base[i % 4]]) for i in range(300)] + [(400, [0.5] * 6), (401, [0.25] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = top_k_model(rows, lambda i: i % 100 == 0)
+    assert max(abs(s) for v in want.values() for _, s in v) > 2**53
+    assert found_by(df) == want
+
+
+def test_top_k_beyond_64_bits(spark):
+    rows = [(0, [1e10, 0.0]), (1, [1e10, 5.0]), (2, [-1e10, 1.0]), (3, [1e-3, 1.0]), (4, [3e38 * 1e200, 1.0])]
+    got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0]
+    assert got == [(1, 2**63 - 1), (4, 2**63 - 1), (3, math.floor(1.024) * 1024 * 10**10), (2, -(2**63))]
+
+
+def test_top_k_repeated_ids(spark):
+    """An unusable row of an id does not stand in for a usable one."""
+    rows = [(0, [None, 1.0]), (0, [1.0, 1.0]), (0, None), (1, [2.0, 2.0]), (1, [2.0, 2.0]), (2, [1.0, None])]
+    assert found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == {0: [(1, 4 * 1024 * 1024)] * 2}
+
+
+def test_ball_tree_prunes_clusters():
+    """With clustered vectors most of a shard is never scored, and what is found is the same."""
+    from tidegate.llm import topk
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 4000, (40, 16))
+    x = np.floor(centres[rng.integers(0, 40, 8000)] + rng.normal(0, 30, (8000, 16)))
+    ids = np.arange(8000)
+    q = x[::400]
+    search = topk._Search(ids[::400], q, np.full(len(q), -1e18), 10)
+    search.shard(ids, x)
+    _, v, s = search.shrink()
+    scores = q @ x.T
+    scores[np.arange(len(q)), ids[::400]] = -np.inf
+    want = [sorted(zip(-row, ids, strict=True))[:10] for row in scores]
+    assert [(-a, b) for row in want for a, b in row] == list(zip(s, v, strict=True))
+    assert search.scored < 0.3 * len(q) * len(x)
+
+
 # -- URLs
 
 
