@@ -28,7 +28,6 @@ SHARD = 1 << 14
 _PAIRS = 1 << 20
 _EXACT = 2.0**52
 _MOST = (1 << 63) - 1
-_LEAST = -(1 << 62)
 
 
 def _vectors(ids: pa.Array, lists: pa.Array, scale: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -173,7 +172,7 @@ def _search(batches: Iterator[pa.RecordBatch], blocks: dict, k: int, scale: floa
 
 def _first_kth(ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
     """A lower bound of each query's k-th score: the k-th among the other queries, less what doubles could miss."""
-    out = np.full(len(ids), float(_LEAST))
+    out = np.full(len(ids), -np.inf)
     if len(ids) > k:
         for i in range(0, len(ids), 256):
             with np.errstate(over="ignore", invalid="ignore"):
