@@ -3,6 +3,7 @@
 import math
 import random
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -147,6 +148,18 @@ def test_urls(spark, sf):
     assert judged(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_url_rows(spark):
+    """Repeated rows, null and narrow ids, clashing columns."""
+    from tidegate.llm.urls import judged
+
+    rows = [(1, "http://a.com/x"), (1, "http://a.com/x"), (None, "http://a.net/fr/"), (2, None)]
+    df = spark.createDataFrame(rows, "page_id int, url string")
+    for name in ("host", "path", "rule", "verdict", "gram", "block_id", "held"):
+        df = df.withColumn(name, F.lit(1))
+    got = judged(df).collect()
+    assert sorted(((r.page_id, r.host, r.verdict) for r in got), key=str) == [(1, "a.com", "allow"), (1, "a.com", "allow"), (2, "", "allow"), (None, "a.net", "block")]
+
+
 def test_url_model_is_a_distribution_and_separates(spark):
     from tidegate.llm.urls import CharModel, judged
 
@@ -166,8 +179,9 @@ def test_url_models_keep_every_gram_of_whole_urls(spark, monkeypatch):
     texts = [f"http://{word()}.com/{word()}?{word()}" for _ in range(60)] + [f"https://{word()}.net/fr/{word()}#{word()}" for _ in range(50)]
     texts += [f"ftp://{word()}.org/{word()}" for _ in range(20)] + ["http://o.org/p", "http://o.org/p?ref=casino", "http://o.org/p#top", "no scheme", "", None, texts[0]]
     counts = {"allow": {}, "block": {}, None: {}}
+    held = lambda t: zlib.crc32((t or "").encode()) % 5 == 0
     for t in texts:
-        best = url_model(t)[2]
+        best = None if held(t) else url_model(t)[2]
         text = "\x02" * 4 + (t or "")
         for n in range(1, 6):
             for i in range(5 - n, len(text) - n + 1):
@@ -186,6 +200,15 @@ def test_url_models_keep_every_gram_of_whole_urls(spark, monkeypatch):
     assert len(rows) == len(got) == len(texts)
     for i, t in enumerate(texts):
         assert abs(got[i] - score(t or "")) < 1e-9, t
+    spread = {}
+    for kind in ("allow", "block"):
+        own = [score(t) for t in texts if t and held(t) and (best := url_model(t)[2]) and best[0] == kind]
+        spread[kind] = np.mean(own), np.std(own)
+    (a, sa), (b, sb) = spread["allow"], spread["block"]
+    threshold = (a * sb + b * sa) / (sa + sb)
+    for r in rows:
+        t, best = texts[r.page_id], url_model(texts[r.page_id])[2]
+        assert abs(score(t or "") - threshold) > 1e-6 and r.verdict == (best[0] if best else "block" if t and score(t) < threshold else "allow")
     at = {t: got[i] for i, t in enumerate(texts)}
     assert len({at[f"http://o.org/p{x}"] for x in ("", "?ref=casino", "#top")}) == 3 and at["no scheme"] != 0
 
@@ -240,6 +263,20 @@ def test_preferences(spark):
         assert sorted(got.get((p, "rejected"), [])) == show(list(enumerate(b))[n:], False)
 
 
+def test_exchanged_answers(spark):
+    from tidegate.llm.preferences import exchanged_answers, formatted
+
+    rows = [(4, 0, "user", "q"), (4, 1, "assistant", "a"), (4, 2, "user", "more"), (5, 0, "user", "r"), (5, 1, "assistant", "b"), (5, 2, "assistant", "c"), (6, 0, "user", "alone"), (None, 0, "user", "x")]
+    got = {}
+    for r in formatted(exchanged_answers(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))).collect():
+        got.setdefault((r.pair_id, r.part), {})[r.position] = r.rendered.split("\n")[1]
+    assert got == {
+        (4, "prompt"): {0: "q"}, (4, "chosen"): {1: "a", 2: "more"}, (4, "rejected"): {1: "c"},
+        (5, "prompt"): {0: "r", 1: "b"}, (5, "chosen"): {2: "c"}, (5, "rejected"): {2: "a"}, (6, "prompt"): {0: "alone"},
+    }
+    assert formatted(exchanged_answers(spark.createDataFrame([], "conv_id int, turn int, role string, text string"))).collect() == []
+
+
 def test_assembled(spark):
     from tidegate.llm.preferences import assembled, formatted
 

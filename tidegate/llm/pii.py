@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick automaton finds anchors (at-signs, schemes, digits, plus signs, identifier cues); at each anchor a
-small deterministic parser expands to the left and right and validates what it has found. Parsers move cursors
+One Aho-Corasick automaton finds anchors (at-signs, schemes, digits, plus signs, identifier cues, the fixed beginnings of
+keys); at each anchor a small deterministic parser expands to the left and right and validates what it has found. Parsers move cursors
 forward only, so the time is linear in the text, and every text is read whole.
 """
 
@@ -39,6 +39,17 @@ _SECRET = re.compile(r"[A-Za-z0-9_\-+/.]{16,}")
 _PASSWORD = re.compile(r"""["']?[ \t]{0,4}(?:(?:is|was|no\.?|number|nr\.?|#)(?=[ \t:=]))?[ \t]{0,4}([:=]{0,2})[ \t]{0,4}(?:"([^"\n]++)"|'([^'\n]++)'|["']?)""", re.I)
 _RUN = re.compile(r"""[^\s"']*+""")
 
+#: Fixed beginnings of keys that services hand out (fixed values), with what follows them. They begin where no letter or
+#: digit stands before.
+_KEY_STARTS = {
+    "AKIA": re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])"), "ASIA": re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])"), "AIza": re.compile(r"[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
+    "ghp_": re.compile(r"[0-9A-Za-z]{36,}+"), "gho_": re.compile(r"[0-9A-Za-z]{36,}+"), "ghs_": re.compile(r"[0-9A-Za-z]{36,}+"), "github_pat_": re.compile(r"[0-9A-Za-z_]{22,}+"),
+    "glpat-": re.compile(r"[0-9A-Za-z_-]{20,}+"), "xoxb-": re.compile(r"[0-9A-Za-z-]{20,}+"), "xoxp-": re.compile(r"[0-9A-Za-z-]{20,}+"),
+    "sk_live_": re.compile(r"[0-9A-Za-z]{16,}+"), "eyJ": re.compile(r"[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]++"),
+}
+_PRIVATE_KEY = "-----BEGIN "
+_PRIVATE_KEY_LABEL = re.compile(r"(?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY-----")
+
 #: Words before an identifier, with the kind of what follows them.
 _CUES = {
     "iban": "iban", "account": "number", "konto": "number", "cuenta": "number", "compte": "number", "passport": "number",
@@ -70,6 +81,8 @@ def _automaton() -> ahocorasick.Automaton:
         out.add_word(digit, ("digit", 1))
     for cue, what in _CUES.items():
         out.add_word(cue, (what, len(cue)))
+    for start in (*_KEY_STARTS, _PRIVATE_KEY):
+        out.add_word(start.lower(), (start, len(start)))
     out.make_automaton()
     return out
 
@@ -140,8 +153,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     """
     base: list[tuple[str, int, int]] = []
     more: list[tuple[str, int, int]] = []
-    email_from = ip_from = card_from = phone_from = password_from = 0
-    run = [0, 0, 0, 0]
+    email_from = ip_from = card_from = phone_from = password_from = key_from = 0
+    run, endless = [0, 0, 0, 0], set()
     for last, (what, size) in _automaton().iter(_folded(text)):
         at = last - size + 1
         if what == "digit":
@@ -175,6 +188,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         elif what == "scheme":
             if m := _LOGIN.match(text, last + 1):
                 more.append(("login", last + 1, m.end() - 1))
+        elif what in _KEY_STARTS:
+            if text.startswith(what, at) and not (at and text[at - 1].isalnum()) and (m := _KEY_STARTS[what].match(text, last + 1)):
+                more.append(("secret", at, m.end()))
+        elif what == _PRIVATE_KEY:
+            if at >= key_from and (m := _PRIVATE_KEY_LABEL.match(text, last + 1)):
+                end = -1 if m[0] in endless else text.find("-----END " + m[0], m.end())
+                if end < 0:
+                    endless.add(m[0])  # so that the rest of the text is searched once for each label
+                key_from = m.end() if end < 0 else end + len("-----END " + m[0])
+                more.append(("secret", at, key_from))
         elif not (at and text[at - 1].isalnum()) and not text[last + 1 : last + 2].isalnum():
             begin = _VALUE.match(text, last + 1).end()
             if what == "password":
@@ -273,4 +296,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(told(base).cast("binary"), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

@@ -46,10 +46,23 @@ def formatted(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns of pairs: conversation 2n is chosen over conversation 2n + 1."""
+def exchanged_answers(conversations: DataFrame) -> DataFrame:
+    """Turns of a pair for each conversation: as it is (chosen), and with the last answer of conversation n ^ 1 in place of
+    its own last one (rejected), nothing after it. The two are alike up to there.
+
+    Conversations without an answer, or whose partner has none, are paired with themselves. Answers are turns of an
+    assistant; of several last ones in a turn the largest text counts. Rows with a null conv_id are left out.
+    """
     conv = F.col("conv_id").cast("long")
-    return conversations.select(F.floor(conv / 2).cast("long").alias("pair_id"), (F.pmod(conv, F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+    turns = conversations.select(conv.alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text").where("pair_id is not null")
+    last = turns.where("role = 'assistant' and turn is not null").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("own"))
+    answers = last.select("pair_id", F.col("own.turn").alias("at"))
+    others = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("own.text").alias("other"), F.lit(True).alias("known"))
+    both = turns.join(answers.join(others, "pair_id"), "pair_id", "left")
+    # up to the last answer, which the other one takes the place of
+    rejected = both.where("known is null or turn is null or turn < at").select("pair_id", F.lit(False).alias("chosen"), "turn", "role", "text")
+    swapped = answers.join(others, "pair_id").select("pair_id", F.lit(False).alias("chosen"), F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    return turns.select("pair_id", F.lit(True).alias("chosen"), "turn", "role", "text").unionByName(rejected).unionByName(swapped)
 
 
 def assembled(rows: DataFrame) -> DataFrame:

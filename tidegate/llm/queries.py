@@ -55,9 +55,9 @@ def op6_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidegate.llm.preferences import formatted, neighbouring_pairs
+    from tidegate.llm.preferences import exchanged_answers, formatted
 
-    return formatted(neighbouring_pairs(_table(spark, sf_dir, "conversations")))
+    return formatted(exchanged_answers(_table(spark, sf_dir, "conversations")))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,10 +75,15 @@ FROM far
 
 def _preferences() -> str:
     return r"""
-WITH o AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, ((conv_id % 2) + 2) % 2 = 0 AS chosen, role, text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position
-  FROM conversations WHERE conv_id IS NOT NULL
+WITH c AS (SELECT CAST(conv_id AS BIGINT) AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT pair_id, turn AS last_turn, text AS own FROM c WHERE role = 'assistant' AND turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC NULLS LAST) = 1),
+b AS (SELECT l.pair_id, l.last_turn, x.own AS other FROM l JOIN l x ON x.pair_id = xor(l.pair_id, 1)),
+t AS (
+  SELECT pair_id, true AS chosen, turn, role, text FROM c
+  UNION ALL SELECT c.pair_id, false, turn, role, text FROM c LEFT JOIN b ON b.pair_id = c.pair_id WHERE b.pair_id IS NULL OR turn IS NULL OR turn < b.last_turn
+  UNION ALL SELECT pair_id, false, last_turn, 'assistant', other FROM b
+), o AS (
+  SELECT pair_id, chosen, role, text, row_number() OVER (PARTITION BY pair_id, chosen ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position FROM t
 ), same AS (
   SELECT pair_id, position, count(*) = 2 AND max(role) IS NOT DISTINCT FROM min(role) AND max(text) IS NOT DISTINCT FROM min(text)
     AND count(role) <> 1 AND count(text) <> 1 AS equal FROM o GROUP BY pair_id, position

@@ -1,8 +1,8 @@
 """URL filtering: listed rules decide what they fit; the rest is decided by two character language models.
 
 Variable-order Markov models of the whole URLs (scheme, query and fragment too) that rules accept and reject are counted
-over all pages and smoothed by Witten-Bell interpolation of all orders. A URL's log-likelihood difference, divided by its
-length, is held against a threshold calibrated on the same URLs. The models are tables of all n-grams counted, as large
+over all pages, but for a fifth of them, and smoothed by Witten-Bell interpolation of all orders. A URL's log-likelihood
+difference, divided by its length, is held against a threshold calibrated on that fifth. The models are tables of all n-grams counted, as large
 as the input makes them: blocks of rows are joined with the steps of their own n-grams.
 """
 
@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.shared import Stash
+from tidegate.llm.shared import Stash, bounded_batches
+from tidegate.llm.words import returned
 
 ORDER = 5
 ALPHABET = 256
@@ -55,12 +56,18 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return F.coalesce(*cases) if cases else F.lit(None).cast("struct<rule:string,action:string>")
 
 
+def held_out(url: Column) -> Column:
+    """Whether a URL is kept from the models, for the threshold."""
+    return F.crc32(url.cast("binary")) % 5 == 0
+
+
 def _texts(url: str, order: int) -> list[str]:
     """The n-grams of ``order`` characters that end at each character of a URL."""
     text = _START * (order - 1) + url
     return [text[i : i + order] for i in range(len(url))]
 
 
+@returned
 def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     """The n-grams of each block, with their counts in accepted and rejected URLs; both are 0 for what others hold."""
     for batch in batches:
@@ -133,23 +140,28 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: in
     """(page_id, host, path, rule, verdict, ratio) for every row of ``pages``.
 
     ``verdict`` is the rule's where one fits, else "block" where the ratio is under the threshold and "allow" where it
-    is not. Rules see host and path, the models the whole URL. Where the rules accept or reject nothing, and for null and
+    is not. The threshold lies as many spreads from the mean ratio of accepted as from that of rejected URLs, both of those
+    that the models have not seen (of all, where none of a kind was held out). Rules see host and path, the models the whole URL. Where the rules accept or reject nothing, and for null and
     empty URLs, there is nothing to compare: such rows are allowed. Repeated rows are judged each; other columns are
     ignored.
     """
+    bounded_batches(pages.sparkSession)
     stash = Stash(pages.sparkSession)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host, path = host_and_path(url)
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path")).withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules))
-    named = named.select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.action").alias("action"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block_id"))
+    named = named.select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.action").alias("action"), held_out(F.col("url")).alias("held"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block_id"))
     named = stash.keep(named, "urls")
-    grams = named.select("block_id", "action", "url").mapInArrow(partial(_grams, order=order), "block_id long, gram string, allow long, block long")
+    grams = named.select("block_id", F.when(~F.col("held"), F.col("action")), "url").mapInArrow(partial(_grams, order=order), "block_id long, gram string, allow long, block long")
     grams = stash.keep(grams, "grams")
     steps = grams.select("block_id", "gram").join(_steps(grams, order), "gram")
-    scored = named.groupBy("block_id").cogroup(steps.groupBy("block_id")).applyInArrow(partial(_ratio, order=order), "page_id long, url string, host string, path string, rule string, action string, ratio double")
+    scored = named.groupBy("block_id").cogroup(steps.groupBy("block_id")).applyInArrow(partial(_ratio, order=order), "page_id long, url string, host string, path string, rule string, action string, held boolean, ratio double")
     scored = stash.keep(scored, "scored")
     stash.drop(named, grams)
-    known = {r.action: r for r in scored.where("action is not null").groupBy("action").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("spread")).collect()}
+    spread = [F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("spread")]
+    known = {r.action: r for r in scored.where("action is not null and held").groupBy("action").agg(*spread).collect()}
+    if len(known) < 2:  # too few to hold some out
+        known = {r.action: r for r in scored.where("action is not null").groupBy("action").agg(*spread).collect()}
     if len(known) < 2:
         other = F.lit("allow")
     else:
