@@ -116,15 +116,19 @@ def test_jaccard_several_texts_of_an_id(spark):
 def test_shingle_counts(spark, monkeypatch):
     """Counts are those of documents, whatever they are dealt into."""
     from tidegate.llm import jaccard
+    from tidegate.llm.shared import Stash
 
     monkeypatch.setattr(jaccard, "BUCKET_BYTES", 256)
     monkeypatch.setattr(jaccard, "HELD", 50)
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 60))) for _ in range(80)] + ["the same line for all of them"] * 12
     docs = documents(spark, texts).select("doc_id", "text").repartition(3)
-    bits, keys, rank = jaccard.JaccardJoin()._frequent(docs)
+    bits, keys, rank = jaccard.JaccardJoin()._frequent(docs, Stash(spark))
     count = Counter(s for t in texts for s in {tuple(w) for w in zip(*(t.split()[i:] for i in range(5)), strict=False)} or ({tuple(t.split())} if t.split() else set()))
     assert bits > 2 and sorted(rank) == list(range(1, len(keys) + 1)) and len(keys) == sum(c >= jaccard.FREQUENT_FROM for c in count.values())
+    monkeypatch.setattr(jaccard, "FREQUENT", 20)
+    _, few, rank = jaccard.JaccardJoin()._frequent(docs, Stash(spark))
+    assert 0 < len(few) <= 30 and set(few) < set(keys) and sorted(rank) == list(range(1, len(few) + 1))
 
 
 # -- suffix arrays

@@ -181,7 +181,7 @@ class JaccardJoin:
         bounded_batches(spark)
         stash = Stash(spark)
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        bits, hot, rank = self._frequent(docs)
+        bits, hot, rank = self._frequent(docs, stash)
         described = stash.keep(
             docs.mapInArrow(
                 partial(_described, k=self.k, percent=self.percent, bits=bits, hot=hot, rank=rank),
@@ -218,17 +218,24 @@ class JaccardJoin:
         own = stash.keep(some.join(several, "doc_id").join(classes, ["n", "fp", "fq"]).select("doc_id", "node").distinct(), "several")
         return own.groupBy("doc_id").agg(F.min("node").alias("a")).join(own, "doc_id").select("a", F.col("node").alias("b"))
 
-    def _frequent(self, docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    def _frequent(self, docs: DataFrame, stash: Stash) -> tuple[int, np.ndarray, np.ndarray]:
         """Bits that name a bucket, and the keys of the most frequent shingles with their places in the order of counts."""
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(24, max(0, (size // BUCKET_BYTES).bit_length()))
         dealt = docs.mapInArrow(partial(_hashes, k=self.k, bits=bits), "bucket long, ones binary, more binary, counts binary")
-        rows = (
-            dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_counts, least=FREQUENT_FROM), "key long, c long")
-            .orderBy(F.desc("c"), "key").limit(FREQUENT).toArrow()
-        )
-        found = rows.column(0).to_numpy()
-        rank = np.arange(len(found), 0, -1, dtype=np.int32)  # the most frequent comes last
+        counts = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_counts, least=FREQUENT_FROM), "key long, c long")
+        counts = stash.keep(counts.withColumn("level", F.floor(8 * F.log2("c")).cast("int")), "counts")
+        room, cut, part = FREQUENT, 0, 0
+        for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r.level):  # some hundreds of levels at most
+            if r["count"] > room:  # of this level those that a part of the keys' space holds
+                cut, part = r.level, room * 1024 // r["count"]
+                break
+            room, cut, part = room - r["count"], r.level, 1024
+        rows = counts.where((F.col("level") > cut) | ((F.col("level") == cut) & (F.pmod("key", F.lit(1024)) < part))).select("key", "c").toArrow()
+        found, count = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        stash.drop(counts)
+        rank = np.empty(len(found), dtype=np.int32)
+        rank[np.lexsort((found, count))] = np.arange(1, len(found) + 1)  # the most frequent comes last
         order = np.argsort(found)
         return bits, found[order], rank[order]
 
