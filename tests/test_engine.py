@@ -207,6 +207,18 @@ def test_secret(monkeypatch):
     assert crypto.secret("TIDEGATE_KEY", "x") == hashlib.sha256(b"x").digest()
 
 
+def test_config():
+    from tidegate.config import Config
+
+    env = {"G_KEY": "ab" * 32, "G_LEASE_MS": "5", "G_SHARDS": "7", "G_RULES": "a:1000:3:block,b:60000:9:challenge"}
+    got = Config.from_env("G_", env)
+    assert got == Config(b"\xab" * 32, Leases(5, 86_400_000), (Rule("a", 1000, 3, "block"), Rule("b", 60_000, 9, "challenge")), 7)
+    assert Config.from_env("G_", {}).secret == hashlib.sha256(b"not a secret").digest() and Config.from_env("G_", {}).shards == 32
+    for name, bad in (("KEY", "xy"), ("SHARDS", "0"), ("TTL_MS", "soon"), ("RULES", "a:1:2"), ("RULES", "a:0:2:block"), ("RULES", "a:1:2:explode")):
+        with pytest.raises(ValueError):
+            Config.from_env("G_", {f"G_{name}": bad})
+
+
 def test_proof_of_work(spark):
     secret, rhash, width, now = b"s" * 32, hashlib.sha256(b"r").digest(), 60_000, 1_000_000
 
@@ -243,7 +255,6 @@ def test_nonces_are_searched_until_found(spark, monkeypatch):
         pow.smallest_nonce(tasks, ["identity"], "value", F.lit(257), 3)
 
 
-
 # -- sketches
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,9 +67,9 @@ def leading_zero_bits(digest: Column) -> Column:
     return (zeros * 4 + more).cast("int")
 
 
-def secret(name: str, fallback: str) -> bytes:
+def secret(name: str, fallback: str, env: Mapping[str, str] | None = None) -> bytes:
     """A 32-byte key from the environment variable ``name`` as 64 hex digits, else a digest of ``fallback``."""
-    text = os.environ.get(name)
+    text = (os.environ if env is None else env).get(name)
     if text is None:
         return hashlib.sha256(fallback.encode()).digest()
     if not re.fullmatch("[0-9a-fA-F]{64}", text):
