@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Stash:
     """Tables written once and read many times, so that a lost executor costs a reread and not a recomputation."""
 
+    #: All that were made in this process.
+    made: ClassVar[list[Stash]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.count = 0
         self.paths: list[str] = []
+        Stash.made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
@@ -45,6 +50,13 @@ class Stash:
         read = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in tables for f in df.inputFiles()}
         self._delete({p for p in self.paths if p.rsplit("/", 1)[1] not in read})
 
+    @staticmethod
+    def sweep(since: int) -> None:
+        """Delete whole all that were made after the first ``since``, for who knows that nothing reads them any more."""
+        for own in Stash.made[since:]:
+            own._delete({own.root})
+        del Stash.made[since:]
+
     def _delete(self, paths: set[str]) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
