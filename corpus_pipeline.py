@@ -21,8 +21,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order on ``documents``; each result is written as Parquet and read again as the next one's input."""
+    """All stages in order on ``documents``; each result is written as Parquet and read again as the next one's input, which
+    is then deleted."""
     stash, docs = Stash(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    since = len(Stash.made)
+    for name, stage in STAGES:
         docs = stash.keep(stage(spark, docs, sf_dir), name)
-    return stash.keep(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+        # neither what the stage has written meanwhile nor its input is read again
+        Stash.sweep(since)
+        stash.drop_but(docs)
+    return docs
