@@ -33,7 +33,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++@")
 _VALUE = re.compile(r"""[ \t]{0,4}(?:is|no\.?|number|nr\.?|#)?[ \t]{0,4}[:=#]?[ \t]{0,4}["']?""", re.I)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){5,33}")
+#: Numbers end where no letter or digit follows.
+_NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){5,33}(?![0-9A-Za-z_])")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}([ -]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9A-Za-z_])")
+_PASSPORT = re.compile(r"(?:[A-Z]{1,2}[0-9]{6,8}|[A-Z][0-9][A-Z0-9]{7}|[0-9]{8,9})(?![0-9A-Za-z_])")
+_NUMBERS = {"number": _NUMBER, "ssn": _SSN, "passport": _PASSPORT}
 _SECRET = re.compile(r"[A-Za-z0-9_\-+/.]{16,}")
 #: A sign of assignment or none, then a value in quotes or up to a space.
 _PASSWORD = re.compile(r"""["']?[ \t]{0,4}(?:(?:is|was|no\.?|number|nr\.?|#)(?=[ \t:=]))?[ \t]{0,4}([:=]{0,2})[ \t]{0,4}(?:"([^"\n]++)"|'([^'\n]++)'|["']?)""", re.I)
@@ -52,8 +56,8 @@ _PRIVATE_KEY_LABEL = re.compile(r"(?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY-----")
 
 #: Words before an identifier, with the kind of what follows them.
 _CUES = {
-    "iban": "iban", "account": "number", "konto": "number", "cuenta": "number", "compte": "number", "passport": "number",
-    "ssn": "number", "social security": "number", "token": "secret", "password": "password", "secret": "secret",
+    "iban": "iban", "account": "number", "konto": "number", "cuenta": "number", "compte": "number", "passport": "passport",
+    "ssn": "ssn", "social security": "ssn", "token": "secret", "password": "password", "secret": "secret",
     "api_key": "secret", "api key": "secret", "apikey": "secret",
 }
 
@@ -207,9 +211,9 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 continue
             if what == "secret" and (m := _SECRET.match(text, begin)) and any(c.isdigit() for c in m[0]):
                 more.append(("secret", begin, m.end()))
-            elif what == "number" and (m := _NUMBER.match(text, begin)):
+            elif what in _NUMBERS and (m := _NUMBERS[what].match(text, begin)):
                 more.append(("account", begin, m.end()))
-            if what != "secret":
+            if what in ("iban", "number"):
                 # NO is Norway as well as "number"
                 for start in (begin - 2, begin) if text[max(last + 1, begin - 2) : begin] == "NO" else (begin,):
                     if (m := _IBAN.match(text, start)) and (end := _iban_end(text, start, m.end())):
